@@ -18,6 +18,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plainlake.llm.line_dedup import dedup_lines
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = dedup_lines(docs, Workspace(spark, "lines"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plainlake.llm.language import fit, held_out, identify, vocabulary
+
+    docs = read(spark, sf_dir, "documents")
+    model = fit(docs.filter(~held_out() & F.col("doc_id").isNotNull()), vocabulary(tokenizer_path("byte_bpe_multi_50k.tiktoken")))
+    out = identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plainlake.llm.token_counts import count_tokens
 
@@ -32,9 +49,43 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), digests=True)
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plainlake.llm.vector_dedup import near_vectors
+
+    return near_vectors(read(spark, sf_dir, "embeddings"), Workspace(spark, "vectors"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plainlake.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), Workspace(spark, "near"))
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plainlake.llm.repeats import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), Workspace(spark, "repeats"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_language": op2_language,
     "op4_token_counts": op4_token_counts,
     "op6_bpe": op6_bpe,
+    "op7_vector_dedup": op7_vector_dedup,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_repeats": op10_repeats,
 }
 
-ORACLES: dict[str, str] = {}
+LINES_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, (f.key IS NOT NULL AND k.doc_id < f.keeper) AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": LINES_SQL}

@@ -88,3 +88,18 @@ def components(edges: DataFrame, ws: Workspace, name: str, most_rounds: int = 40
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
         seen = is_now
     raise RuntimeError("the components did not settle")
+
+
+def rough_set(keys: DataFrame, column: str, bits: int = 1 << 22) -> DataFrame:
+    """A bitmap of the hashes in `column`: at most bits / 64 rows (word, mask), 1 MB, whatever the input's size."""
+    at = F.pmod(F.col(column), F.lit(bits))
+    return keys.groupBy(F.floor(at / 64).cast("int").alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("_mask"))
+
+
+def rough_split(rows: DataFrame, column: str, known: DataFrame, bits: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash may be in the set, rows whose hash is not), without a shuffle: the bitmap's size is bounded by
+    `bits`, so it is broadcast. Where most bits are set the first part is simply larger; a join must follow it."""
+    at = F.pmod(F.col(column), F.lit(bits))
+    marked = rows.withColumn("_word", F.floor(at / 64).cast("int")).join(F.broadcast(known), "_word", "left")
+    hit = F.coalesce(F.getbit(F.col("_mask"), (at % 64).cast("int")) == 1, F.lit(False))
+    return marked.filter(hit).drop("_word", "_mask"), marked.filter(~hit).drop("_word", "_mask")
