@@ -1,4 +1,65 @@
-STAGES: list = []
+"""A training-data pipeline of five of the corpus operators over `documents`."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plainlake.llm.bpe import encode_decode
+from plainlake.llm.language import UNKNOWN, fit, held_out, identify, vocabulary
+from plainlake.llm.line_dedup import dedup_lines
+from plainlake.llm.mixing import apply_rates, mix
+from plainlake.llm.near_dedup import near_duplicates
+from plainlake.llm.queries import tokenizer_path
+from plainlake.llm.shared import Workspace, read
+
+#: A document whose best language is less likely than this is rejected, as is one without a letter.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the labelled rows teach."""
+    model = fit(docs.filter(~held_out() & F.col("doc_id").isNotNull()), vocabulary(tokenizer_path("byte_bpe_multi_50k.tiktoken")))
+    out = identify(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return out.select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines; n_chars follows the text."""
+    out = dedup_lines(docs, Workspace(spark, "pipeline-lines"), out="kept_text")
+    return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; rows that repeat a doc_id are one document. Documents without a
+    doc_id can't stand for a group: one of each text stays."""
+    found = near_duplicates(docs, Workspace(spark, "pipeline-near"))
+    kept = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    out = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return out.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their fitted rates say."""
+    return apply_rates(docs, mix(docs, read(spark, sf_dir, "labels"), Workspace(spark, "pipeline-mixing")))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, and whether they decode to its text."""
+    out = encode_decode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+
+
+STAGES = [("language ID", language), ("line dedup", lines), ("MinHash near-dedup", near), ("mixing", mixing), ("BPE", encoding)]
+
+#: Neither trained classifiers nor BPE merges can be said in SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, ws = read(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = ws.save(docs, f"stage-{k}")
+    return docs

@@ -35,6 +35,15 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plainlake.llm.mixing import mix
+    from plainlake.llm.shared import row_key
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = mix(docs, read(spark, sf_dir, "labels"), Workspace(spark, "mixing"))
+    return docs.select("doc_id", *row_key("doc_id", "text")).join(rated, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plainlake.llm.token_counts import count_tokens
 
@@ -43,6 +52,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(spark, docs, tokenizer_path(), cache).drop("text")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plainlake.llm.chat import digests, format_windows, read_windows
+
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    windows = format_windows(turns.unionByName(own))
+    return digests(read_windows(windows))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plainlake.llm.bpe import encode_decode
 
@@ -55,6 +74,13 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"), Workspace(spark, "vectors"))
 
 
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plainlake.llm.audio import align, render
+
+    recordings = render(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return align(recordings, F.col("id") % 20 == 0, Workspace(spark, "audio"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plainlake.llm.near_dedup import near_duplicates
 
@@ -70,9 +96,12 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language": op2_language,
+    "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
+    "op5_chat": op5_chat,
     "op6_bpe": op6_bpe,
     "op7_vector_dedup": op7_vector_dedup,
+    "op8_audio": op8_audio,
     "op9_near_dedup": op9_near_dedup,
     "op10_repeats": op10_repeats,
 }
