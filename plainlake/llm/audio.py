@@ -17,7 +17,7 @@ from plainlake.llm.bytehash import mix
 from plainlake.llm.shared import Workspace
 
 FRAME, HOP, CLASSES, WIDTH, LOWEST = 1024, 256, 12, 12, 55.0
-MOST_ERRORS, LEAST_FRAMES = 0.2, 8
+MOST_ERRORS, LEAST_FRAMES, APART = 0.2, 9, 8
 
 
 @lru_cache(8)
@@ -38,7 +38,8 @@ def _filters() -> list[tuple[int, int, int, int]]:
 
 
 def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
-    """Pitch-class frames: the energy of the spectrum folded into one octave, each frame of length one."""
+    """Pitch-class frames: the energy of the spectrum folded into one octave, as shares of the recording's loudest frame,
+    so that loudness doesn't count but loud frames outweigh quiet ones."""
     if len(samples) < FRAME:
         return np.zeros((0, CLASSES))
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
@@ -46,8 +47,8 @@ def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
     window = np.hanning(FRAME)
     for k in range(0, len(frames), 2048):
         out[k : k + 2048] = (np.abs(np.fft.rfft(frames[k : k + 2048] * window, axis=1)) ** 2) @ _bins(rate)
-    norm = np.linalg.norm(out, axis=1)
-    return np.where(norm[:, None] > 1e-9, out / np.maximum(norm, 1e-9)[:, None], 0.0)
+    top = out.sum(1).max(initial=0.0)
+    return np.where(out > top * 1e-9, out / top, 0.0) if top > 0 else out * 0.0
 
 
 def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
@@ -103,15 +104,16 @@ def encode(samples: np.ndarray, rate: int) -> bytes:
 
 
 def tones(values, rate: int = 4000, length: int = 512) -> np.ndarray:
-    """A recording of a vector: each component sounds as a note of `length` samples, its sign and size set the pitch.
+    """A recording of a vector: each component sounds for `length` samples, as loud as it is large; its place deals the
+    pitch class, and a negative one is half an octave higher.
 
     There is no audio among the tables; this makes a media column of any column of numbers."""
     v = np.asarray([x for x in values if x is not None and np.isfinite(x)], np.float64)
     if not len(v) or not v.any():
         return np.zeros(0)
-    pitch = 220 * 2 ** (1.5 * np.tanh(3 * v * np.sqrt(len(v)) / np.linalg.norm(v) / 3))
+    pitch = 220 * 2 ** ((7 * np.arange(len(v)) % CLASSES + np.where(v > 0, 0, CLASSES // 2)) / CLASSES)
     phase = 2 * np.pi * np.cumsum(np.repeat(pitch / rate, length))
-    return 0.8 * np.sin(phase)
+    return 0.9 * np.sin(phase) * np.repeat(np.abs(v) / np.abs(v).max(), length)
 
 
 def render(rows: DataFrame, id_column: str, values: str) -> DataFrame:
@@ -140,11 +142,12 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select(F.col("id").cast("long").alias("id"), "media").mapInArrow(run, "id long, d1 long, d2 long, prints array<int>")
 
 
-def align(recordings: DataFrame, is_query, ws: Workspace, least_votes: int = 3) -> DataFrame:
+def align(recordings: DataFrame, is_query, ws: Workspace, least_votes: int = 2) -> DataFrame:
     """(id, match_id, shift, votes, n_frames, bit_errors, error_rate): what each query, a recording for which `is_query`
     holds, shares with any other recording.
 
-    Equal numbers vote for the shift between their frames (an offset histogram); the shift with most votes, `least_votes`
+    Equal pairs of numbers, APART frames from each other, vote for the shift between their frames (an offset histogram);
+    one number alone would meet too many others by chance. The shift with most votes, `least_votes`
     at least, the smallest of equals, is confirmed by the share of different bits over the frames that overlap there:
     at most MOST_ERRORS over LEAST_FRAMES or more. Recordings with equal prints are one class in the search, whatever
     their number, and a class is expanded only into the rows of the result. Null ids and recordings without prints match
@@ -153,9 +156,10 @@ def align(recordings: DataFrame, is_query, ws: Workspace, least_votes: int = 3)
     prints = ws.save(fingerprints(recordings).filter("id is not null and size(prints) > 0"), "prints")
     members = prints.select("id", "d1", "d2").distinct()
     classes = ws.save(prints.groupBy("d1", "d2").agg(F.first("prints").alias("prints"), F.max(is_query.cast("int")).alias("asked")), "classes")
-    codes = classes.select("d1", "d2", "asked", F.posexplode("prints").alias("at", "code")).filter("code <> 0")
-    # Within a recording a number that stays for many frames votes once, at its first frame of a run.
-    codes = codes.join(classes.select("d1", "d2", "prints"), ["d1", "d2"]).filter((F.col("at") == 0) | (F.get("prints", F.col("at") - 1) != F.col("code"))).drop("prints")
+    n = F.greatest(F.size("prints") - APART, F.lit(0))
+    keys = F.zip_with(F.slice("prints", 1, n), F.slice("prints", APART + 1, n), lambda a, b: F.when((a != 0) & (b != 0), F.xxhash64(a, b)))
+    firsts = F.transform("keys", lambda k, i: F.when((i == 0) | ~k.eqNullSafe(F.get("keys", i - 1)), k))  # a note that is held votes once
+    codes = classes.select("d1", "d2", "asked", keys.alias("keys")).select("d1", "d2", "asked", F.posexplode(firsts).alias("at", "code")).filter("code is not null")
     q = codes.filter("asked = 1").select(F.col("d1").alias("q1"), F.col("d2").alias("q2"), F.col("at").alias("q_at"), "code")
     votes = q.join(codes.drop("asked"), "code").groupBy("q1", "q2", "d1", "d2", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= least_votes)
     best = votes.groupBy("q1", "q2", "d1", "d2").agg(F.max(F.struct("votes", (-F.col("shift")).alias("s"))).alias("b")).select("q1", "q2", "d1", "d2", "b.votes", (-F.col("b.s")).alias("shift"))
