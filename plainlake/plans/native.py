@@ -1,2 +1,225 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""The snapshot operators as registered queries over the given tables, each with a twin for an independent engine.
+
+Diff and merge work on three versions of `orders` that are derived by rule.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plainlake.functions.canon import NULL_MODES, encoded, natural_key, normal_type, normal_value
+from plainlake.operators import compare, infer, order
+from plainlake.sources import ddl
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+LEFT_SQL = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 11 = 0 THEN o_totalprice + 1e-12 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 17 <> 0
+UNION ALL SELECT o_orderkey + 1000000, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey < 50"""
+RIGHT_SQL = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 2 WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 19 <> 0
+UNION ALL SELECT o_orderkey + 1000000, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 3 ELSE o_totalprice END, o_orderstatus FROM orders WHERE o_orderkey BETWEEN 25 AND 75"""
+BASE_SQL = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders"
+PK = ["o_orderkey"]
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    return tuple(spark.sql(x) for x in (BASE_SQL, LEFT_SQL, RIGHT_SQL))
+
+
+def _table(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, left, _ = _versions(spark, sf_dir)
+    d = compare.diff(base, left, PK)
+    return d.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "kind", F.coalesce(F.size("columns"), F.lit(0)).cast("bigint").alias("n_columns"))
+
+
+def diff_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, left, _ = _versions(spark, sf_dir)
+    d = compare.diff(base, left, PK).filter("kind = 'modified'")
+    return d.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.explode("columns").alias("c")).select("o_orderkey", F.col("c.name").alias("name"), normal_value(F.col("c.left")).alias("l"), normal_value(F.col("c.right")).alias("r"))
+
+
+def diff_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey")
+    d = compare.diff_multiset(rows, rows.filter("l_suppkey % 9 <> 0"))
+    return d.select("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.col("l_suppkey").cast("bigint").alias("l_suppkey"), "surplus")
+
+
+def _merge(strategy: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = compare.merge(*_versions(spark, sf_dir), PK, strategy)
+        return m.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "class", "stays", normal_value(F.col("result.o_totalprice")).alias("price"), F.col("result.o_orderstatus").alias("status"))
+
+    return run
+
+
+def merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = compare.merge(*_versions(spark, sf_dir), PK).filter("conflict")
+    return m.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "class", F.array_join(F.transform("columns", lambda c: c["name"]), ",").alias("names"))
+
+
+def synthetic_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    return order.with_synthetic_key(df, ["event_type", "event_id"]).withColumnRenamed(order.SYNTHETIC, "rowid")
+
+
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank of each name among the distinct ones, by natural order; the ranks are numbered by range partitions."""
+    names = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source").distinct()
+    n = order.with_synthetic_key(names.withColumn("k", natural_key(F.col("source"))), ["k"])
+    return n.select("source", F.col(order.SYNTHETIC).alias("place"))
+
+
+def infer_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    texts = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), compare.encoded(F.col(c), df.schema[c].dataType).alias("v")) for c in ("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate", "o_orderpriority")])).alias("x")).select("x.*")
+    return texts.groupBy("name", infer.value_class(F.col("v")).alias("class")).agg(F.count("*").alias("n"))
+
+
+def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {}
+    for t in ("nation", "region", "customer"):
+        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        tables[t] = compare.canonical(df).select(*[F.col(c).alias(c) for c in df.columns])
+    found = infer.infer(tables)
+    return spark.createDataFrame([(t.table, c, k, t.nullable[c], c == t.pk) for t in found for c, k in t.columns.items()], "table_name string, column_name string, kind string, nullable boolean, is_key boolean")
+
+
+def change_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region", "supplier")}
+    new = {"nation": old["nation"].repartition(3), "region": old["region"].filter("r_regionkey > 0"), "part": spark.read.parquet(f"{sf_dir}/part.parquet")}
+    return spark.createDataFrame(compare.change_status(old, new), "table_name string, status string")
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal for equal rows in another order and partitioning, and else not."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    a, b, c = compare.fingerprint(df), compare.fingerprint(df.repartition(5, "l_partkey")), compare.fingerprint(df.withColumn("l_tax", F.col("l_tax") + F.when(F.col("l_orderkey") % 97 == 0, 0.01).otherwise(0.0)))
+    j = a.select(F.col("n_rows"), F.col("digest").alias("x")).crossJoin(b.select(F.col("digest").alias("y"))).crossJoin(c.select(F.col("digest").alias("z")))
+    return j.select("n_rows", (F.col("x") == F.col("y")).alias("same"), (F.col("x") != F.col("z")).alias("other"))
+
+
+def row_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return df.select("n_nationkey", compare.row_digest(df).alias("digest"))
+
+
+def type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["INT", "bigint", "VARCHAR(10)", "REAL", "REALISTIC", "double precision", "POINT", "blob", "BYTEA", "decimal(10,2)", "numeric", "boolean", "DATE", "timestamp", "interval", "uuid", "CLOB"]
+    return spark.createDataFrame([(n, normal_type(n)) for n in names], "declared string, normal string")
+
+
+def table_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    script = "CREATE TABLE orders (id INTEGER PRIMARY KEY, c INTEGER REFERENCES customer(id)); CREATE TABLE customer (id INTEGER PRIMARY KEY, n INTEGER REFERENCES nation(id)); CREATE TABLE nation (id INTEGER PRIMARY KEY); CREATE VIEW a AS SELECT * FROM b; CREATE VIEW b AS SELECT * FROM nation"
+    s = ddl.parse(script)
+    rows = [("table", n) for n in ddl.table_order({t: x.ddl() for t, x in s.tables.items()})] + [("view", n) for n in ddl.view_order(s.views)]
+    return spark.createDataFrame([(k, n, i) for i, (k, n) in enumerate(rows)], "kind string, name string, place long")
+
+
+def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    views = e.filter("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("view_id"))
+    return order.asof_join(e.filter("event_type <> 'view'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "seen", ["view_id"]).select("event_id", "view_id")
+
+
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    bands = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 5).alias("high"))
+    j = order.range_join(o, bands, "o_totalprice", "low", "high", 50.0)
+    return j.select("o_orderkey", "p_partkey")
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plainlake.streaming.events import sessionized
+
+    return sessionized(spark.read.parquet(f"{sf_dir}/events.parquet")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plainlake.streaming.events import windowed
+
+    return windowed(spark.read.parquet(f"{sf_dir}/events.parquet"), "1 day").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+_NORMAL = "CASE WHEN regexp_full_match({0}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN CASE WHEN TRY_CAST({0} AS DOUBLE) = floor(TRY_CAST({0} AS DOUBLE)) THEN CAST(CAST(TRY_CAST({0} AS DOUBLE) AS BIGINT) AS VARCHAR) ELSE rtrim(rtrim(printf('%.10f', TRY_CAST({0} AS DOUBLE)), '0'), '.') END ELSE {0} END"
+_PRICE = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE rtrim(rtrim(printf('%.10f', {0}), '0'), '.') END"
+_V = f"WITH b AS ({BASE_SQL}), l AS ({LEFT_SQL}), r AS ({RIGHT_SQL})"
+_NE = lambda a, b: f"({a}.o_custkey <> {b}.o_custkey OR {_PRICE.format(a + '.o_totalprice')} <> {_PRICE.format(b + '.o_totalprice')} OR {a}.o_orderstatus <> {b}.o_orderstatus)"
+_MERGED = f"""{_V}, j AS (SELECT coalesce(b.o_orderkey, l.o_orderkey, r.o_orderkey) AS k, b.o_orderkey IS NOT NULL AS hb, l.o_orderkey IS NOT NULL AS hl, r.o_orderkey IS NOT NULL AS hr,
+  coalesce({_NE('b', 'l')}, false) AS lc, coalesce({_NE('b', 'r')}, false) AS rc, coalesce({_NE('l', 'r')}, false) AS lr, b.o_totalprice AS bp, l.o_totalprice AS lp, r.o_totalprice AS rp, b.o_orderstatus AS bs, l.o_orderstatus AS ls, r.o_orderstatus AS rs
+  FROM b FULL JOIN l ON b.o_orderkey = l.o_orderkey FULL JOIN r ON coalesce(b.o_orderkey, l.o_orderkey) = r.o_orderkey),
+c AS (SELECT *, CASE WHEN hb AND hl AND hr THEN CASE WHEN NOT lc AND NOT rc THEN 'unchanged' WHEN NOT rc THEN 'left' WHEN NOT lc THEN 'right' WHEN NOT lr THEN 'converged' ELSE 'modify_modify' END
+  WHEN hb AND hr THEN CASE WHEN rc THEN 'modify_delete' ELSE 'deleted' END WHEN hb AND hl THEN CASE WHEN lc THEN 'modify_delete' ELSE 'deleted' END
+  WHEN hb THEN 'deleted_both' WHEN hl AND hr THEN CASE WHEN lr THEN 'add_add' ELSE 'dedup' END WHEN hl THEN 'left_add' ELSE 'right_add' END AS class FROM j)"""
+
+
+def _merge_sql(ours: str) -> str:
+    """`ours`: the side that a conflict leaves: an expression over l and r."""
+    side = f"CASE WHEN class IN ('modify_modify', 'modify_delete', 'add_add') THEN {ours} WHEN class = 'unchanged' THEN 'b' WHEN class IN ('right', 'right_add') THEN 'r' WHEN class IN ('left', 'converged', 'dedup', 'left_add') THEN 'l' END"
+    return f"""{_MERGED}, s AS (SELECT *, CASE {side} WHEN 'b' THEN bp WHEN 'l' THEN lp WHEN 'r' THEN rp END AS p, CASE {side} WHEN 'b' THEN bs WHEN 'l' THEN ls WHEN 'r' THEN rs END AS status FROM c)
+SELECT k AS o_orderkey, class, p IS NOT NULL AS stays, {_PRICE.format('p')} AS price, status FROM s"""
+
+
+_CLASS = """CASE WHEN lower(v) IN ('true', 'false', 'yes', 'no', 't', 'f') THEN 'BOOLEAN' WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN 'INTEGER' WHEN regexp_full_match(v, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'REAL' WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}') THEN 'TIMESTAMP' WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'DATE' ELSE 'TEXT' END"""
+
+QUERIES: dict[str, Query] = {
+    "diff_rows": diff_rows,
+    "diff_cells": diff_cells,
+    "diff_multiset": diff_multiset,
+    "merge_normal": _merge("normal"),
+    "merge_ours": _merge("ours"),
+    "merge_theirs": _merge("theirs"),
+    "merge_conflicts": merge_conflicts,
+    "normalize_values": _table("orders", lambda df: df.select("o_orderkey", normal_value(F.concat(F.lit("0"), F.round(F.col("o_totalprice"), 0).cast("bigint").cast("string"), F.lit(".50"))).alias("a"), normal_value(F.concat(F.col("o_orderkey").cast("string"), F.lit("e2"))).alias("b"), normal_value(F.col("o_orderpriority")).alias("c"))),
+    "normalize_types": type_names,
+    "null_encoding": _table("nation", lambda df: df.select("n_nationkey", *[encoded(F.when(F.col("n_regionkey") != 1, F.col("n_name")), df.schema["n_name"].dataType, m).alias(m) for m in NULL_MODES])),
+    "lexicographic_order": _table("customer", lambda df: order.with_synthetic_key(df.select(F.col("c_custkey").cast("string").alias("k")), ["k"]).select("k", F.col(order.SYNTHETIC).alias("place"))),
+    "natural_order": natural_order,
+    "synthetic_key": synthetic_key,
+    "duplicate_rows": _table("lineitem", lambda df: order.duplicate_rows(df.select("l_orderkey", "l_linenumber")).select(F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_duplicates").cast("bigint").alias("n_duplicates"))),
+    "duplicate_keys": _table("lineitem", lambda df: order.duplicate_keys(df, ["l_orderkey", "l_linenumber"])),
+    "fingerprint": fingerprints,
+    "row_digests": row_digests,
+    "change_status": change_status,
+    "infer_classes": infer_classes,
+    "infer_schema": infer_schema,
+    "dependency_order": table_order,
+    "asof_join": asof,
+    "range_join": ranges,
+    "session_windows": sessions,
+    "tumbling_windows": tumbling,
+}
+
+ORACLES: dict[str, str] = {
+    "diff_rows": f"{_V} SELECT coalesce(b.o_orderkey, l.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'added' WHEN l.o_orderkey IS NULL THEN 'deleted' ELSE 'modified' END AS kind, CAST(CASE WHEN b.o_orderkey IS NULL OR l.o_orderkey IS NULL THEN 0 ELSE CAST({_PRICE.format('b.o_totalprice')} <> {_PRICE.format('l.o_totalprice')} AS INT) + CAST(b.o_orderstatus <> l.o_orderstatus AS INT) END AS BIGINT) AS n_columns FROM b FULL JOIN l ON b.o_orderkey = l.o_orderkey WHERE b.o_orderkey IS NULL OR l.o_orderkey IS NULL OR {_NE('b', 'l')}",
+    "diff_cells": f"{_V} SELECT b.o_orderkey, 'o_totalprice' AS name, {_PRICE.format('b.o_totalprice')} AS l, {_PRICE.format('l.o_totalprice')} AS r FROM b JOIN l ON b.o_orderkey = l.o_orderkey WHERE {_PRICE.format('b.o_totalprice')} <> {_PRICE.format('l.o_totalprice')} UNION ALL SELECT b.o_orderkey, 'o_orderstatus', b.o_orderstatus, l.o_orderstatus FROM b JOIN l ON b.o_orderkey = l.o_orderkey WHERE b.o_orderstatus <> l.o_orderstatus",
+    "diff_multiset": "SELECT l_returnflag, l_linestatus, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_suppkey, -count(*) AS surplus FROM lineitem WHERE l_suppkey % 9 = 0 GROUP BY ALL",
+    "merge_normal": _merge_sql("CASE WHEN class <> 'modify_delete' THEN 'l' END"),
+    "merge_ours": _merge_sql("'l'"),
+    "merge_theirs": _merge_sql("'r'"),
+    "merge_conflicts": f"{_MERGED} SELECT k AS o_orderkey, class, concat_ws(',', CASE WHEN (hb AND (coalesce({_PRICE.format('bp')} <> {_PRICE.format('lp')}, false) OR coalesce({_PRICE.format('bp')} <> {_PRICE.format('rp')}, false))) OR (NOT hb AND {_PRICE.format('lp')} <> {_PRICE.format('rp')}) THEN 'o_totalprice' END, CASE WHEN (hb AND (coalesce(bs <> ls, false) OR coalesce(bs <> rs, false))) OR (NOT hb AND ls <> rs) THEN 'o_orderstatus' END) AS names FROM c WHERE class IN ('modify_modify', 'modify_delete', 'add_add')",
+    "normalize_values": "SELECT o_orderkey, " + ", ".join(f"{_NORMAL.format(x)} AS {n}" for n, x in (("a", "('0' || CAST(CAST(round(o_totalprice, 0) AS BIGINT) AS VARCHAR) || '.50')"), ("b", "(CAST(o_orderkey AS VARCHAR) || 'e2')"), ("c", "o_orderpriority"))) + " FROM orders",
+    "normalize_types": "SELECT declared, CASE WHEN u LIKE '%INT%' THEN 'INTEGER' WHEN u LIKE '%FLOAT%' OR u LIKE '%DOUBLE%' OR u = 'REAL' THEN 'REAL' WHEN u LIKE '%CHAR%' OR u LIKE '%TEXT%' OR u LIKE '%STRING%' OR u LIKE '%CLOB%' THEN 'TEXT' WHEN u LIKE '%BLOB%' OR u LIKE '%BINARY%' OR u LIKE '%BYTEA%' THEN 'BLOB' WHEN u LIKE '%DECIMAL%' OR u LIKE '%NUMERIC%' THEN 'NUMERIC' WHEN u LIKE '%BOOL%' THEN 'INTEGER' ELSE 'TEXT' END AS normal FROM (SELECT declared, upper(declared) AS u FROM (VALUES ('INT'), ('bigint'), ('VARCHAR(10)'), ('REAL'), ('REALISTIC'), ('double precision'), ('POINT'), ('blob'), ('BYTEA'), ('decimal(10,2)'), ('numeric'), ('boolean'), ('DATE'), ('timestamp'), ('interval'), ('uuid'), ('CLOB')) v(declared))",
+    "null_encoding": "SELECT n_nationkey, " + ", ".join(f"coalesce(CASE WHEN n_regionkey <> 1 THEN n_name END, '{v}') AS {m}" for m, v in NULL_MODES.items()) + " FROM nation",
+    "lexicographic_order": "SELECT CAST(c_custkey AS VARCHAR) AS k, row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) AS place FROM customer",
+    "natural_order": "SELECT source, row_number() OVER (ORDER BY CAST(substr(source, 4) AS BIGINT)) AS place FROM (SELECT DISTINCT source FROM documents)",
+    "synthetic_key": "SELECT row_number() OVER (ORDER BY event_type, event_id) AS rowid, event_id, event_type FROM events",
+    "duplicate_rows": "SELECT count(*) AS n_rows, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n_duplicates FROM lineitem",
+    "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "fingerprint": "SELECT count(*) AS n_rows, true AS same, true AS other FROM lineitem",
+    "row_digests": "SELECT n_nationkey, sha256(string_agg(CAST(length(v) AS VARCHAR) || ':' || v, '' ORDER BY i)) AS digest FROM (SELECT n_nationkey, unnest([1, 2, 3]) AS i, unnest([CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR)]) AS v FROM nation) GROUP BY n_nationkey",
+    "change_status": "SELECT * FROM (VALUES ('nation', 'unchanged'), ('part', 'added'), ('region', 'updated'), ('supplier', 'removed')) v(table_name, status)",
+    "infer_classes": f"SELECT name, {_CLASS} AS class, count(*) AS n FROM (SELECT unnest(['o_orderkey', 'o_totalprice', 'o_orderstatus', 'o_orderdate', 'o_orderpriority']) AS name, unnest([CAST(o_orderkey AS VARCHAR), CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE CAST(o_totalprice AS VARCHAR) END, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderpriority]) AS v FROM orders) GROUP BY ALL",
+    "infer_schema": "SELECT * FROM (VALUES ('nation', 'n_nationkey', 'INTEGER', false, true), ('nation', 'n_name', 'TEXT', false, false), ('nation', 'n_regionkey', 'INTEGER', false, false), ('region', 'r_regionkey', 'INTEGER', false, true), ('region', 'r_name', 'TEXT', false, false), ('customer', 'c_custkey', 'INTEGER', false, true), ('customer', 'c_name', 'TEXT', false, false), ('customer', 'c_nationkey', 'INTEGER', false, false), ('customer', 'c_acctbal', 'REAL', false, false), ('customer', 'c_mktsegment', 'TEXT', false, false)) v(table_name, column_name, kind, nullable, is_key)",
+    "dependency_order": "SELECT * FROM (VALUES ('table', 'nation', CAST(0 AS BIGINT)), ('table', 'customer', 1), ('table', 'orders', 2), ('view', 'b', 3), ('view', 'a', 4)) v(kind, name, place)",
+    "asof_join": "WITH v AS (SELECT user_id, ts AS seen, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY user_id, ts) SELECT e.event_id, v.view_id FROM (SELECT * FROM events WHERE event_type <> 'view') e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.seen",
+    "range_join": "SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice AND o_totalprice < p_retailprice + 5",
+    "session_windows": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, k.n",
+    "tumbling_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+}
