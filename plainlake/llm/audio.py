@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plainlake.llm.bytehash import mix
 from plainlake.llm.shared import Workspace
+from plainlake.session import ship
 
 FRAME, HOP, CLASSES, WIDTH, LOWEST = 1024, 256, 12, 12, 55.0
 MOST_ERRORS, LEAST_FRAMES, APART = 0.2, 9, 8
@@ -126,6 +127,7 @@ def render(rows: DataFrame, id_column: str, values: str) -> DataFrame:
                 media = [None if v is None else encode(tones(v), 4000) for v in b.column("v").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(media, pa.binary())], names=["id", "media"])
 
+    ship(rows.sparkSession)
     return rows.select(F.col(id_column).cast("long").alias("id"), F.col(values).alias("v")).mapInArrow(run, "id long, media binary")
 
 
@@ -139,6 +141,7 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
             d = [np.frombuffer(hashlib.blake2b(p.tobytes(), digest_size=16).digest(), np.int64) for p in prints]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([int(x[0]) for x in d], pa.int64()), pa.array([int(x[1]) for x in d], pa.int64()), pa.array(prints, pa.list_(pa.int32()))], names=["id", "d1", "d2", "prints"])
 
+    ship(recordings.sparkSession)
     return recordings.select(F.col("id").cast("long").alias("id"), "media").mapInArrow(run, "id long, d1 long, d2 long, prints array<int>")
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plainlake.llm.pieces import Bounded, Splitter, texts_of
+from plainlake.session import ship
 
 NEVER = 1 << 60
 
@@ -140,6 +141,7 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
     the digest of an empty string; columns of the input that clash with the new ones give way to them; an empty table
     gives an empty table. Repeated rows are encoded each.
     """
+    ship(docs.sparkSession)
     new = {"n_tokens": "long"} | ({"ids_sha256": "string", "decoded_sha256": "string"} if digests else {"ids": "array<int>", "decoded": "string"})
     order = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded", "n_tokens"]
     keep = [c for c in docs.columns if c not in new and not (digests and c == "text")]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plainlake.llm.pieces import texts_of
+from plainlake.session import ship
 
 #: Runs of letters and combining marks. A word is scored with a space before it, as the vocabulary has its word starts.
 WORD = re.compile(r"[^\W\d_]+")
@@ -170,6 +171,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     text without a letter is `und` with score 0; ties go to the first language in order. With nothing learned,
     lang_pred is null. Map only: no shuffle; clashing columns give way; an empty table gives an empty table.
     """
+    ship(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep] + ["lang_pred string", "score double"])
     return docs.select(*keep).mapInArrow(_predict(model, keep), schema)

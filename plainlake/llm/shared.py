@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plainlake.session import ship
+
 SETTING = "spark.checkpoint.dir"
 
 
@@ -31,6 +33,7 @@ class Workspace:
     """Parquet tables below the shared folder; they cut lineage, survive lost executors and go when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/plainlake-{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainlake.llm.pieces import Bounded, Splitter, texts_of
+from plainlake.session import ship
 
 CACHE = "tokenizer string, digest string, n_tokens long"
 
@@ -73,6 +74,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, cache_path: st
     last join is left to Spark's skew handling and needs no aggregation. Null text counts as empty and has no tokens; repeated
     rows each get their row back; clashing columns give way; an empty table gives an empty table.
     """
+    ship(spark)
     version = tokenizer_version(path)
     if not _exists(spark, cache_path):
         spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_path)
