@@ -18,7 +18,8 @@ DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 def value_class(c: Column) -> Column:
     whole = c.rlike(r"^[+-]?[0-9]+$") & c.try_cast("bigint").isNotNull()
     return (
-        F.when(F.lower(c).isin("true", "false", "yes", "no", "t", "f"), "BOOLEAN")
+        F.when(c.isNull(), F.lit(None).cast("string"))
+        .when(F.lower(c).isin("true", "false", "yes", "no", "t", "f"), "BOOLEAN")
         .when(whole, "INTEGER")
         .when(c.rlike(NUMBER), "REAL")
         .when(c.rlike(DATE + r"[T ][0-9]{2}:[0-9]{2}:[0-9]{2}"), "TIMESTAMP")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from plainlake.functions.canon import NULL_MARK, ddl_type, encoded, spark_type
 from plainlake.operators.compare import ROWID, fingerprint
 from plainlake.operators.order import SYNTHETIC, ordered, with_synthetic_key
+from plainlake.session import ship
 from plainlake.sources import ddl, duck, settings, sqlite
 from plainlake.sources.ddl import Column, Schema, Table
 
@@ -120,6 +121,7 @@ def load(spark: SparkSession, path: str | Path, tables: Sequence[str] = (), excl
             schema.tables.setdefault(t, from_frame(t, df))
         return Snapshot(spark, schema, found, (settings.load(p) if p.is_dir() else None) or settings.Settings())
     if kind == "sqlite":
+        ship(spark)
         spark.dataSource.register(sqlite.SqliteSource)
         schema = sqlite.read_schema(str(p))
         reader = lambda t: spark.read.format("plainlake_sqlite").schema(sqlite.table_schema(schema, t)).option("table", t).load(str(p.resolve()))
