@@ -101,6 +101,17 @@ def normal_value(s: Column) -> Column:
     return F.when(s.rlike(NUMBER) & (F.abs(f) < float("inf")), number).otherwise(F.coalesce(special, s))
 
 
+def normal_number(c: Column, kind: T.DataType) -> Column:
+    """What normal_value makes of a number's text, straight from the number."""
+    if isinstance(kind, T.IntegralType):
+        return c.cast("string")
+    if not isinstance(kind, (T.FloatType, T.DoubleType)):
+        return normal_value(c.cast("string"))
+    f = c.cast("double")
+    rounded = F.rtrim(F.rtrim(F.format_string("%.10f", f), F.lit("0")), F.lit("."))
+    return F.when(F.isnan(f), "NaN").when(f == float("inf"), "inf").when(f == float("-inf"), "-inf").when((f == F.rint(f)) & (F.abs(f) < 9223372036854775807.0), f.cast("bigint").cast("string")).otherwise(rounded)
+
+
 def natural_key(s: Column) -> Column:
     """Sorts as maximal runs of digits and of other characters do: numbers by value (0 if over 64 bits) and before text,
     and a shorter sequence first."""

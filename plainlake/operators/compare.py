@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plainlake.functions.canon import NULL_MARK, encoded, normal_type, normal_value
+from plainlake.functions.canon import NULL_MARK, encoded, normal_number, normal_type, normal_value
 
 ROWID = r"__\w+_rowid"  # synthetic key columns take no part in comparisons
 
@@ -128,8 +128,11 @@ def row_digest(df: DataFrame, numeric_only: bool = True) -> Column:
     numeric columns are normalised; with numeric_only False, all are."""
     parts = []
     for f in df.schema:
-        c = encoded(F.col(f"`{f.name}`"), f.dataType)
-        c = normal_value(c) if not numeric_only or isinstance(f.dataType, T.NumericType) else c
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.NumericType):
+            c = F.coalesce(normal_number(c, f.dataType), F.lit(NULL_MARK))
+        else:
+            c = encoded(c, f.dataType) if numeric_only else normal_value(encoded(c, f.dataType))
         parts += [F.length(c).cast("string"), F.lit(":"), c]
     return F.sha2(F.concat(*parts).cast("binary"), 256) if parts else F.sha2(F.lit("").cast("binary"), 256)
 
