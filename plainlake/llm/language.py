@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plainlake.llm.bytehash import Powers, mix, prefix, spans
 from plainlake.llm.pieces import texts_of
 from plainlake.session import ship
 
 #: Runs of letters and combining marks. A word is scored with a space before it, as the vocabulary has its word starts.
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+LONGEST = 32  # bytes of a word that is scored together with others
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -41,6 +43,11 @@ class Model:
     def __post_init__(self):
         self.version = hashlib.sha256(self.log_p.tobytes() + repr(self.languages).encode()).hexdigest()
         self.rows = {w: [math.exp(x) for x in self.log_p[i]] for w, i in self.pieces.items()}
+        names = list(self.pieces)
+        hashes = np.array([spans(prefix(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))[0] for w in names], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.p = np.concatenate([np.exp(self.log_p[[self.pieces[names[i]] for i in order]]), np.zeros((1, len(self.languages)))]) if names else np.zeros((1, len(self.languages)))
 
     def word(self, word: str) -> list[float]:
         """Log probability of a word in each language, all its segmentations summed by the forward algorithm: ways[j] is
@@ -63,6 +70,38 @@ class Model:
         return [math.log(max(x, 1e-300)) + scale for x in ways[n]]
 
 
+    def words(self, words: list[str]) -> np.ndarray:
+        """word() for many: words of equal length go through the forward algorithm together, a piece is found by the hash
+        of its bytes. What is too long for plain doubles takes word()."""
+        raw = [(" " + w.lower()).encode() for w in words]
+        out = np.empty((len(words), len(self.languages)))
+        by: dict[int, list[int]] = {}
+        for i, b in enumerate(raw):
+            by.setdefault(len(b), []).append(i)
+        _, down = Powers.get(LONGEST + 1)
+        up, _ = Powers.get(LONGEST + 1)
+        for n, at in by.items():
+            if n > LONGEST:
+                for i in at:
+                    out[i] = self.word(words[i])
+                continue
+            data = np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(-1, n)
+            sums = np.zeros((len(at), n + 1), np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], axis=1, dtype=np.uint64, out=sums[:, 1:])
+            ways = np.zeros((n + 1, len(at), len(self.languages)))
+            ways[0] = 1.0
+            for j in range(1, n + 1):
+                for i in range(max(0, j - self.longest), j):
+                    h = mix((sums[:, j] - sums[:, i]) * down[i] + np.uint64(j - i))
+                    k = np.searchsorted(self.hashes, h)
+                    k[self.hashes[np.minimum(k, len(self.hashes) - 1)] != h] = len(self.hashes)
+                    has = np.flatnonzero(k < len(self.hashes))
+                    if len(has):
+                        ways[j, has] += ways[i, has] * self.p[k[has]]
+            out[at] = np.log(np.maximum(ways[n], 1e-300))
+        return out
+
+
 def train(counts: dict[str, dict[str, int]], pieces: dict[bytes, int], rounds: int = 4, smoothing: float = 0.1) -> Model:
     """Fits the piece probabilities of each language to word counts by expectation-maximisation: forward and backward
     sums give the expected count of every piece over all segmentations of every word."""
@@ -125,6 +164,19 @@ def fit(labelled: DataFrame, pieces: dict[bytes, int], docs_per_language: int =
     return train(found, pieces)
 
 
+def _runs(texts: Iterator[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of texts of about `most` characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 #: Scored words by model, one cache for each Python worker.
 _CACHES: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
 
@@ -135,30 +187,28 @@ def _predict(model: Model, keep: list[str], most_cached: int = 250_000):
         row_of, holder = _CACHES.setdefault(model.version, ({}, [np.zeros((1024, max(k, 1)))]))
         for batch in batches:
             best, score = [], []
-            for text in texts_of(batch):
-                words = WORD.findall(text)
-                if not any(c.isalpha() for w in words for c in w):
-                    best.append(UNKNOWN), score.append(0.0)
-                    continue
-                if not k:
-                    best.append(None), score.append(0.0)
-                    continue
-                total = np.zeros(k)
-                for a in range(0, len(words), 50_000):
-                    part = words[a : a + 50_000]
-                    new = [w for w in dict.fromkeys(part) if w not in row_of]
-                    if len(row_of) + len(new) > most_cached:  # memory stays bounded: the whole cache goes
-                        row_of.clear()
-                        new = list(dict.fromkeys(part))
-                    if len(row_of) + len(new) > len(holder[0]):
-                        holder[0] = np.concatenate([holder[0], np.zeros((max(len(holder[0]), len(new)), k))])
-                    for w in new:
-                        holder[0][len(row_of)] = model.word(w)
-                        row_of[w] = len(row_of)
-                    total += holder[0][np.fromiter(map(row_of.__getitem__, part), np.int64, len(part))].sum(0)
-                top = int(total.argmax())
-                best.append(model.languages[top])
-                score.append(float(1 / np.exp(total - total[top]).sum()))
+            for texts in _runs(texts_of(batch)):
+                lists = [WORD.findall(t.lower()) for t in texts]
+                new = [w for w in dict.fromkeys(w for ws in lists for w in ws) if w not in row_of] if k else []
+                if len(row_of) + len(new) > most_cached:  # memory stays bounded: the whole cache goes
+                    row_of.clear()
+                    new = list(dict.fromkeys(w for ws in lists for w in ws))
+                if len(row_of) + len(new) > len(holder[0]):
+                    holder[0] = np.concatenate([holder[0], np.zeros((max(len(holder[0]), len(new)), k))])
+                if new:
+                    holder[0][len(row_of) : len(row_of) + len(new)] = model.words(new)
+                    row_of.update(zip(new, range(len(row_of), len(row_of) + len(new))))
+                for words in lists:
+                    if not any(c.isalpha() for w in words for c in w):
+                        best.append(UNKNOWN), score.append(0.0)
+                        continue
+                    if not k:
+                        best.append(None), score.append(0.0)
+                        continue
+                    total = holder[0][np.fromiter(map(row_of.__getitem__, words), np.int64, len(words))].sum(0)
+                    top = int(total.argmax())
+                    best.append(model.languages[top])
+                    score.append(float(1 / np.exp(total - total[top]).sum()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return run
