@@ -127,10 +127,10 @@ PAIRS = {
         "SELECT s_suppkey, k, v FROM (SELECT s_suppkey, cast(s_nationkey AS double) AS nation, s_acctbal AS bal FROM supplier) UNPIVOT (v FOR k IN (nation, bal))",
         "SELECT s_suppkey, k, v FROM (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS nation, s_acctbal AS bal FROM supplier) UNPIVOT (v FOR k IN (nation, bal))",
     ),
-    "unnest": ("SELECT vec_id, explode(slice(embedding, 1, 3)) AS x FROM embeddings", "SELECT vec_id, unnest(embedding[1:3]) AS x FROM embeddings"),
+    "unnest": ("SELECT vec_id, explode(embedding) AS x FROM embeddings", "SELECT vec_id, unnest(embedding) AS x FROM embeddings"),
     "posexplode": (
-        "SELECT vec_id, cast(pos + 1 AS bigint) AS i, x FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 2)) t AS pos, x",
-        "SELECT vec_id, CAST(generate_subscripts(embedding[1:2], 1) AS BIGINT) AS i, unnest(embedding[1:2]) AS x FROM embeddings",
+        "SELECT vec_id, cast(pos + 1 AS bigint) AS i, x FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, x",
+        "SELECT vec_id, CAST(generate_subscripts(embedding, 1) AS BIGINT) AS i, unnest(embedding) AS x FROM embeddings",
     ),
     "range_tvf": ("SELECT id AS n, id * id AS sq FROM range(0, 50, 5)", "SELECT range AS n, range * range AS sq FROM range(0, 50, 5)"),
     "str2": (
