@@ -23,7 +23,7 @@ SAME = {
     "inner_join": "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",
     "left_join": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey",
     "right_join": "SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey",
-    "full_join": "SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON s.s_suppkey = c.c_custkey",
+    "full_join": "SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL JOIN customer c ON s.s_suppkey = c.c_custkey AND s.s_acctbal < c.c_acctbal",
     "cross_join": "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n",
     "natural_using": "SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)",
     "theta_join": "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey",
@@ -57,7 +57,7 @@ SAME = {
     "union_all": "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region",
     "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
-    "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 10",
+    "except": "SELECT doc_id AS k FROM documents EXCEPT SELECT doc_id FROM labels",
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "distinct": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
     "cte": "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 300000), c AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey) SELECT c_name, n FROM c JOIN customer ON c_custkey = o_custkey",
