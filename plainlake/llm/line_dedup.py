@@ -13,20 +13,27 @@ RUN = ["h1", "h2", "n_docs", "keeper"]
 class Runs:
     """Sorted runs of (line hash, documents that hold it, largest doc_id) in levels, as in a log-structured merge tree.
 
-    add() writes the keys of a batch as one run of level 0, sorted by hash. When a level holds `fanout` runs, they are
-    merged into one sorted run of the next level, so that a key is rewritten once a level and a lookup meets at most
-    (fanout - 1) runs a level. Batches must not share documents.
+    add() splits the keys of a batch by a merge anti-join with the runs: new keys become one run of level 0, sorted by
+    hash, so that every key is in one run only; known keys go to a run of updates, which all() adds to them. When a level
+    holds `fanout` runs, they are merged into one sorted run of the next level, so that a key is rewritten once a level
+    and a lookup meets at most (fanout - 1) runs a level. Updates are levelled alike. Batches must not share documents.
     """
 
     def __init__(self, ws: Workspace, fanout: int = 3):
         self.ws, self.fanout, self.made = ws, fanout, 0
         self.levels: list[list[DataFrame]] = []
+        self.updates: list[list[DataFrame]] = []
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
+    def _write(self, levels: list[list[DataFrame]], run: DataFrame, level: int = 0) -> DataFrame:
+        while len(levels) <= level:
+            levels.append([])
         self.made += 1
-        self.levels[level].append(self.ws.save(run.sortWithinPartitions("h1", "h2"), f"run-{level}-{self.made}"))
+        made = self.ws.save(run.sortWithinPartitions("h1", "h2"), f"run-{level}-{self.made}")
+        levels[level].append(made)
+        if len(levels[level]) >= self.fanout:
+            runs, levels[level] = levels[level], []
+            self._write(levels, self._merged(runs), level + 1)
+        return made
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
@@ -38,15 +45,16 @@ class Runs:
     def add(self, lines: DataFrame) -> None:
         """Rows (h1, h2, doc): any number a key and document."""
         once = lines.groupBy("h1", "h2", "doc").agg(F.lit(1).cast("long").alias("one"))
-        self._write(once.groupBy("h1", "h2").agg(F.sum("one").alias("n_docs"), F.max("doc").alias("keeper")), 0)
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            runs, self.levels[level] = self.levels[level], []
-            level += 1
-            self._write(self._merged(runs), level)
+        batch = once.groupBy("h1", "h2").agg(F.sum("one").alias("n_docs"), F.max("doc").alias("keeper"))
+        if not self.levels:
+            self._write(self.levels, batch)
+            return
+        batch = self.ws.save(batch, f"batch-{self.made}")
+        new = self._write(self.levels, self.unseen(batch))
+        self._write(self.updates, batch.join(new.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"))
 
     def all(self) -> DataFrame:
-        return self._merged([r for level in self.levels for r in level])
+        return self._merged([r for level in self.levels + self.updates for r in level])
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """The rows whose hash is in no run: one merge-anti-join a run, smallest runs last."""
@@ -77,7 +85,7 @@ def dedup_lines(docs: DataFrame, ws: Workspace, least_chars: int = 40, least_doc
     gives an empty table.
 
     The text is read twice. First, hashes and places of the long lines are written, dealt into `batches` by doc_id; every
-    batch adds a run to `Runs`. Then the lines are joined to the frequent keys and the places to drop go to their document;
+    batch is split by the `Runs` so far and adds its own. Then the lines are joined to the frequent keys and the places to drop go to their document;
     the text of a document is shuffled once, and a line that a third of the documents hold is counted before any shuffle.
     """
     at = ws.save(long_lines(docs, least_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), "lines")
