@@ -150,10 +150,12 @@ def align(recordings: DataFrame, is_query, ws: Workspace, least_votes: int = 2)
     holds, shares with any other recording.
 
     Equal pairs of numbers, APART frames from each other, vote for the shift between their frames (an offset histogram);
-    one number alone would meet too many others by chance. The shift with most votes, `least_votes`
-    at least, the smallest of equals, is confirmed by the share of different bits over the frames that overlap there:
-    at most MOST_ERRORS over LEAST_FRAMES or more. Recordings with equal prints are one class in the search, whatever
-    their number, and a class is expanded only into the rows of the result. Null ids and recordings without prints match
+    one number alone would meet too many others by chance. Each shift with `least_votes` at least is tried by the share
+    of different bits over the frames that overlap there: at most MOST_ERRORS over LEAST_FRAMES or more. Of the shifts that
+    hold, the one with most votes, the smallest of equals, is the match. Recordings with equal prints are one class in the
+    search, whatever their number, and a class is expanded only into the rows of the result; its members match each other
+    at shift 0 without a vote, however short they are. Two recordings of different prints match only if both have at least
+    APART + least_votes prints (FRAME + HOP * (WIDTH + APART + least_votes - 2) samples) and the prints change. Null ids and recordings without prints match
     nothing; ids that repeat are one recording with several versions. An empty table gives an empty table.
     """
     prints = ws.save(fingerprints(recordings).filter("id is not null and size(prints) > 0"), "prints")
@@ -165,13 +167,16 @@ def align(recordings: DataFrame, is_query, ws: Workspace, least_votes: int = 2)
     codes = classes.select("d1", "d2", "asked", keys.alias("keys")).select("d1", "d2", "asked", F.posexplode(firsts).alias("at", "code")).filter("code is not null")
     q = codes.filter("asked = 1").select(F.col("d1").alias("q1"), F.col("d2").alias("q2"), F.col("at").alias("q_at"), "code")
     votes = q.join(codes.drop("asked"), "code").groupBy("q1", "q2", "d1", "d2", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= least_votes)
-    best = votes.groupBy("q1", "q2", "d1", "d2").agg(F.max(F.struct("votes", (-F.col("shift")).alias("s"))).alias("b")).select("q1", "q2", "d1", "d2", "b.votes", (-F.col("b.s")).alias("shift"))
-    best = best.join(classes.select(F.col("d1").alias("q1"), F.col("d2").alias("q2"), F.col("prints").alias("x")), ["q1", "q2"]).join(classes.select("d1", "d2", F.col("prints").alias("y")), ["d1", "d2"])
+    votes = votes.filter("q1 <> d1 or q2 <> d2")
+    best = votes.join(classes.select(F.col("d1").alias("q1"), F.col("d2").alias("q2"), F.col("prints").alias("x")), ["q1", "q2"]).join(classes.select("d1", "d2", F.col("prints").alias("y")), ["d1", "d2"])
     n = F.least(F.size("x") - F.greatest(-F.col("shift"), F.lit(0)), F.size("y") - F.greatest(F.col("shift"), F.lit(0)))
     best = best.withColumn("n_frames", n).filter(F.col("n_frames") >= LEAST_FRAMES)
     wrong = F.zip_with(F.slice("x", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.col("n_frames")), F.slice("y", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("n_frames")), lambda a, b: F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(0xFFFFFFFF))))
     best = best.withColumn("bit_errors", F.aggregate(wrong, F.lit(0).cast("long"), lambda s, e: s + e)).withColumn("error_rate", F.col("bit_errors") / (32.0 * F.col("n_frames"))).filter(F.col("error_rate") <= MOST_ERRORS)
-    best = ws.save(best.drop("x", "y"), "matches")
+    best = best.groupBy("q1", "q2", "d1", "d2").agg(F.max(F.struct("votes", (-F.col("shift")).alias("s"), "n_frames", "bit_errors", "error_rate")).alias("b"))
+    best = best.select("q1", "q2", "d1", "d2", (-F.col("b.s")).alias("shift"), "b.votes", "b.n_frames", "b.bit_errors", "b.error_rate")
+    same = classes.filter("asked = 1").withColumn("keys", keys).select(F.col("d1").alias("q1"), F.col("d2").alias("q2"), "d1", "d2", F.lit(0).alias("shift"), F.size(F.filter(firsts, lambda k: k.isNotNull())).cast("long").alias("votes"), F.size("prints").alias("n_frames"), F.lit(0).cast("long").alias("bit_errors"), F.lit(0.0).alias("error_rate"))
+    best = ws.save(best.unionByName(same), "matches")
     asked = members.filter(is_query).select("id", F.col("d1").alias("q1"), F.col("d2").alias("q2"))
     out = asked.join(best, ["q1", "q2"]).join(members.withColumnRenamed("id", "match_id"), ["d1", "d2"]).filter("id <> match_id")
     return out.select("id", "match_id", F.col("shift").cast("long").alias("shift"), "votes", F.col("n_frames").cast("long").alias("n_frames"), "bit_errors", "error_rate")

@@ -26,3 +26,13 @@ def test_line_dedup_asks_the_runs(spark, monkeypatch):
     monkeypatch.setattr(line_dedup.Runs, "unseen", lambda self, lines: asked.append(1) or unseen(self, lines))
     docs = spark.createDataFrame([(i, "a line that is long enough to be counted as one") for i in range(6)], "doc_id long, text string")
     assert line_dedup.dedup_lines(docs, Workspace(spark, "t"), batches=4).filter("n_dropped = 1").count() == 5 and len(asked) == 3
+
+
+def test_short_and_held_recordings_match_their_copies(spark):
+    from plainlake.llm.audio import APART, align, encode, fingerprint, tones
+
+    short, held = tones([1.0] * 9), tones([1.0], length=20000)
+    assert 0 < len(fingerprint(short, 4000)) <= APART + 1 and len(fingerprint(held, 4000)) > 50
+    media = [(k, encode(x, 4000)) for k, x in enumerate([short, short, held, held])]
+    rows = align(spark.createDataFrame(media, "id long, media binary"), F.col("id") % 2 == 0, Workspace(spark, "t")).collect()
+    assert {(r["id"], r["match_id"], r["shift"], r["bit_errors"]) for r in rows} == {(0, 1, 0, 0), (2, 3, 0, 0)}
