@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plainlake.llm.bytehash import mix
-from plainlake.llm.shared import Workspace
+from plainlake.llm.shared import Workspace, components
 from plainlake.session import ship
 
 FRAME, HOP, CLASSES, WIDTH, LOWEST = 1024, 256, 12, 12, 55.0
@@ -85,10 +85,12 @@ def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
 
 
 def decode(media: bytes | None) -> tuple[np.ndarray, int]:
-    """Samples (mono, -1 to 1) and rate of a PCM WAV file of 8, 16 or 32 bits; nothing if it can't be read."""
+    """Samples (mono, -1 to 1) and rate of a PCM WAV file of 8, 16, 24 or 32 bits; nothing if it can't be read."""
     try:
         with wave.open(io.BytesIO(media or b"")) as w:
             raw, size, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
+        if size == 3:  # the three bytes are the upper ones of four
+            raw, size = np.pad(np.frombuffer(raw[: len(raw) // 3 * 3], np.uint8).reshape(-1, 3), ((0, 0), (1, 0))).tobytes(), 4
         x = np.frombuffer(raw, {1: np.uint8, 2: np.int16, 4: np.int32}[size]).astype(np.float64)
         x = (x - 128) / 128 if size == 1 else x / float(1 << (8 * size - 1))
         return x[: len(x) // channels * channels].reshape(-1, channels).mean(1), rate
@@ -145,38 +147,87 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select(F.col("id").cast("long").alias("id"), "media").mapInArrow(run, "id long, d1 long, d2 long, prints array<int>")
 
 
-def align(recordings: DataFrame, is_query, ws: Workspace, least_votes: int = 2) -> DataFrame:
-    """(id, match_id, shift, votes, n_frames, bit_errors, error_rate): what each query, a recording for which `is_query`
-    holds, shares with any other recording.
-
-    Equal pairs of numbers, APART frames from each other, vote for the shift between their frames (an offset histogram);
-    one number alone would meet too many others by chance. Each shift with `least_votes` at least is tried by the share
-    of different bits over the frames that overlap there: at most MOST_ERRORS over LEAST_FRAMES or more. Of the shifts that
-    hold, the one with most votes, the smallest of equals, is the match. Recordings with equal prints are one class in the
-    search, whatever their number, and a class is expanded only into the rows of the result; its members match each other
-    at shift 0 without a vote, however short they are. Two recordings of different prints match only if both have at least
-    APART + least_votes prints (FRAME + HOP * (WIDTH + APART + least_votes - 2) samples) and the prints change. Null ids and recordings without prints match
-    nothing; ids that repeat are one recording with several versions. An empty table gives an empty table.
+def _overlap(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c, o, shift, votes) with n_frames, bit_errors and error_rate of the prints that overlap there, of those that hold."""
+    side = lambda c, p: classes.select(F.col("c").alias(c), F.col("prints").alias(p))
+    x = pairs.join(side("c", "x"), "c").join(side("o", "y"), "o")
+    n = F.least(F.size("x") - F.greatest(F.col("shift"), F.lit(0)), F.size("y") - F.greatest(-F.col("shift"), F.lit(0)))
+    x = x.withColumn("n_frames", n).filter(F.col("n_frames") >= LEAST_FRAMES)
+    part = lambda p, shift: F.slice(p, F.greatest(shift, F.lit(0)) + 1, F.col("n_frames"))
+    wrong = F.zip_with(part("x", F.col("shift")), part("y", -F.col("shift")), lambda a, b: F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(0xFFFFFFFF))))
+    x = x.withColumn("bit_errors", F.aggregate(wrong, F.lit(0).cast("long"), lambda s, e: s + e)).withColumn("error_rate", F.col("bit_errors") / (32.0 * F.col("n_frames")))
+    return x.filter(F.col("error_rate") <= MOST_ERRORS).select("c", "o", "shift", "votes", "n_frames", "bit_errors", "error_rate")
+
+
+def align(recordings: DataFrame, ws: Workspace, least_votes: int = 2) -> DataFrame:
+    """One row per row of `recordings` (id, media): id, n_prints, class_id (the smallest id with the same prints),
+    component_id (the smallest id reachable by alignments, itself included), kept (id = component_id), and the alignment
+    with the likeliest other recording: match_id, shift (its frame 0 lies at this frame), votes, n_frames, bit_errors,
+    error_rate, all null if there is none.
+
+    Equal pairs of prints, APART frames from each other, vote for the shift between two recordings (an offset histogram);
+    one print alone would meet too many others by chance. A shift with `least_votes` is tried by the share of different
+    bits over the frames that overlap: at most MOST_ERRORS over LEAST_FRAMES or more. Two recordings with such a shift are
+    linked. Recordings with equal prints are one class, whatever their number and length, and linked at shift 0 without a
+    vote. Others need APART + least_votes prints that change (FRAME + HOP * (WIDTH + APART + least_votes - 2) samples).
+
+    No group is emitted as all of its pairs: first each class meets, under each key, the class of least id there; then
+    only classes of different components meet, and of the largest component under a key none meets another of its own.
+    The match is the link tried with most votes (then the longest, the smallest id and shift); a copy matches its class_id.
+
+    Null, empty, too short and unreadable media have no prints and link with nothing. A null id belongs to the class of its
+    prints but never stands for it. Ids that repeat are one recording with several versions. An empty table gives an empty
+    table; other columns are not read.
     """
-    prints = ws.save(fingerprints(recordings).filter("id is not null and size(prints) > 0"), "prints")
-    members = prints.select("id", "d1", "d2").distinct()
-    classes = ws.save(prints.groupBy("d1", "d2").agg(F.first("prints").alias("prints"), F.max(is_query.cast("int")).alias("asked")), "classes")
+    prints = ws.save(fingerprints(recordings), "prints")
+    some = prints.filter("size(prints) > 0")
+    classes = some.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("prints").alias("prints"))
+    classes = ws.save(classes.select(F.xxhash64("d1", "d2").alias("c"), "d1", "d2", "rep", "prints"), "classes")
+    usable = classes.filter("rep is not null")
     n = F.greatest(F.size("prints") - APART, F.lit(0))
     keys = F.zip_with(F.slice("prints", 1, n), F.slice("prints", APART + 1, n), lambda a, b: F.when((a != 0) & (b != 0), F.xxhash64(a, b)))
     firsts = F.transform("keys", lambda k, i: F.when((i == 0) | ~k.eqNullSafe(F.get("keys", i - 1)), k))  # a note that is held votes once
-    codes = classes.select("d1", "d2", "asked", keys.alias("keys")).select("d1", "d2", "asked", F.posexplode(firsts).alias("at", "code")).filter("code is not null")
-    q = codes.filter("asked = 1").select(F.col("d1").alias("q1"), F.col("d2").alias("q2"), F.col("at").alias("q_at"), "code")
-    votes = q.join(codes.drop("asked"), "code").groupBy("q1", "q2", "d1", "d2", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= least_votes)
-    votes = votes.filter("q1 <> d1 or q2 <> d2")
-    best = votes.join(classes.select(F.col("d1").alias("q1"), F.col("d2").alias("q2"), F.col("prints").alias("x")), ["q1", "q2"]).join(classes.select("d1", "d2", F.col("prints").alias("y")), ["d1", "d2"])
-    n = F.least(F.size("x") - F.greatest(-F.col("shift"), F.lit(0)), F.size("y") - F.greatest(F.col("shift"), F.lit(0)))
-    best = best.withColumn("n_frames", n).filter(F.col("n_frames") >= LEAST_FRAMES)
-    wrong = F.zip_with(F.slice("x", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.col("n_frames")), F.slice("y", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("n_frames")), lambda a, b: F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(0xFFFFFFFF))))
-    best = best.withColumn("bit_errors", F.aggregate(wrong, F.lit(0).cast("long"), lambda s, e: s + e)).withColumn("error_rate", F.col("bit_errors") / (32.0 * F.col("n_frames"))).filter(F.col("error_rate") <= MOST_ERRORS)
-    best = best.groupBy("q1", "q2", "d1", "d2").agg(F.max(F.struct("votes", (-F.col("shift")).alias("s"), "n_frames", "bit_errors", "error_rate")).alias("b"))
-    best = best.select("q1", "q2", "d1", "d2", (-F.col("b.s")).alias("shift"), "b.votes", "b.n_frames", "b.bit_errors", "b.error_rate")
-    same = classes.filter("asked = 1").withColumn("keys", keys).select(F.col("d1").alias("q1"), F.col("d2").alias("q2"), "d1", "d2", F.lit(0).alias("shift"), F.size(F.filter(firsts, lambda k: k.isNotNull())).cast("long").alias("votes"), F.size("prints").alias("n_frames"), F.lit(0).cast("long").alias("bit_errors"), F.lit(0.0).alias("error_rate"))
-    best = ws.save(best.unionByName(same), "matches")
-    asked = members.filter(is_query).select("id", F.col("d1").alias("q1"), F.col("d2").alias("q2"))
-    out = asked.join(best, ["q1", "q2"]).join(members.withColumnRenamed("id", "match_id"), ["d1", "d2"]).filter("id <> match_id")
-    return out.select("id", "match_id", F.col("shift").cast("long").alias("shift"), "votes", F.col("n_frames").cast("long").alias("n_frames"), "bit_errors", "error_rate")
+    codes = usable.select("c", "rep", keys.alias("keys")).select("c", "rep", F.posexplode(firsts).alias("at", "code")).filter("code is not null")
+    shared = codes.groupBy("code").agg(F.min(F.struct("rep", "c", "at")).alias("l"), F.min("c").alias("_x"), F.max("c").alias("_y")).filter("_x <> _y")
+    shared = ws.save(shared.select("code", F.col("l.c").alias("o"), F.col("l.at").alias("o_at")), "shared")
+    codes = ws.save(codes.join(shared.select("code"), "code", "left_semi"), "codes")
+
+    def voted(met: DataFrame) -> DataFrame:
+        """(c, o, shift, votes) from rows (c, at, o, o_at): `o` starts at frame `shift` of `c`."""
+        return met.groupBy("c", "o", (F.col("at") - F.col("o_at")).alias("shift")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= least_votes)
+
+    found = ws.save(_overlap(voted(codes.join(shared, "code").filter("c <> o")), usable), "links-1")
+    named = usable.select("c", "rep")
+    ends = lambda x: x.select("c", "o").distinct().join(named, "c").join(named.select(F.col("c").alias("o"), F.col("rep").alias("b")), "o").select(F.col("rep").alias("a"), "b")
+    several = some.filter("id is not null").select("id", F.xxhash64("d1", "d2").alias("c")).distinct().join(named, "c")
+    versions = several.groupBy("id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).filter("size(reps) > 1").select(F.explode("reps").alias("a"), "b")
+    of = components(ends(found).unionByName(versions), ws, "components-1")
+
+    placed = codes.join(of.select(F.col("id").alias("rep"), F.col("component").alias("p")), "rep", "left").select("code", "c", "at", F.coalesce("p", "rep").alias("p"))
+    held = placed.groupBy("code", "p").agg(F.count("*").alias("n"))
+    mixed = ws.save(held.groupBy("code").agg(F.max_by("p", F.struct("n", "p")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("code", "main"), "mixed")
+    open_ = ws.save(placed.join(mixed, "code"), "open")
+    # A pair counts once: a row outside the main component meets the main one, and of its like those with a larger class.
+    met = open_.filter("p <> main").join(open_.select("code", F.col("c").alias("o"), F.col("at").alias("o_at"), F.col("p").alias("q"), "main"), ["code", "main"])
+    met = met.filter((F.col("p") != F.col("q")) & ((F.col("q") == F.col("main")) | (F.col("c") < F.col("o"))))
+    turn = F.col("c") < F.col("o")
+    met = met.select(F.when(turn, F.col("c")).otherwise(F.col("o")).alias("c"), F.when(turn, F.col("at")).otherwise(F.col("o_at")).alias("at"), F.when(turn, F.col("o")).otherwise(F.col("c")).alias("o"), F.when(turn, F.col("o_at")).otherwise(F.col("at")).alias("o_at"))
+    more = ws.save(_overlap(voted(met), usable), "links-2")
+    of = components(ends(more).unionByName(of.select(F.col("id").alias("a"), F.col("component").alias("b"))), ws, "components-2")
+
+    links = found.unionByName(more)
+    back = links.select(F.col("o").alias("c"), F.col("c").alias("o"), (-F.col("shift")).alias("shift"), "votes", "n_frames", "bit_errors", "error_rate")
+    both = links.unionByName(back).join(named.select(F.col("c").alias("o"), F.col("rep").alias("match_id")), "o")
+    best = both.groupBy("c").agg(F.max(F.struct("votes", "n_frames", (-F.col("match_id")).alias("m"), (-F.col("shift")).alias("s"), "bit_errors", "error_rate")).alias("b"))
+    about = classes.select("c", "d1", "d2", "rep").join(best, "c", "left").join(of.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    # The versions of an id are in one component, that of the least of them; an id that stands for no class takes its class's.
+    out = prints.select("id", "d1", "d2", F.size("prints").alias("n")).join(about.select("d1", "d2", "rep", "component", "b"), ["d1", "d2"], "left")
+    copy = F.col("rep").isNotNull() & ~F.col("id").eqNullSafe(F.col("rep"))
+    cell = lambda same, link: F.when(copy, same).otherwise(link)
+    n = F.col("n").cast("long")
+    out = out.select(
+        "id", F.greatest(n, F.lit(0)).alias("n_prints"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("component", "rep", "id").alias("component_id"),
+        cell(F.col("rep"), -F.col("b.m")).alias("match_id"), cell(F.lit(0), -F.col("b.s")).cast("long").alias("shift"), cell(F.lit(None), F.col("b.votes")).alias("votes"),
+        cell(n, F.col("b.n_frames").cast("long")).alias("n_frames"), cell(F.lit(0), F.col("b.bit_errors")).cast("long").alias("bit_errors"), cell(F.lit(0.0), F.col("b.error_rate")).alias("error_rate"),
+    )
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

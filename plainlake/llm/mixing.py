@@ -8,13 +8,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plainlake.llm.shared import Workspace, row_key
+from plainlake.llm.shared import Workspace, free_names, row_key
 
-BUCKETS = 1 << 14
-#: The mix's tokens of each domain as shares of the present tokens. `high` may have as many as there are of all domains,
-#: so that no rate below one can take its documents away; they may come more than once.
-TARGETS = {"high": 1.0, "low": 0.1, "toxic": 0.0}
-TEMPERATURE = 4.0  # words of a text are not independent: log odds are divided by this
+#: Hashed words, and behind them shapes: a word's last character if it is no letter, and whether it has only capitals.
+BUCKETS, SHAPES = 1 << 16, 512
+#: A feature counts if its documents differ between a domain and the rest by this chi-square: one in ten million by chance.
+SURE = 28.0
+#: The mix's tokens of each domain as shares of the present tokens. They add up to one: there are as many tokens as
+#: before, toxic documents go, and those of low quality come more rarely than they do in a crawl.
+TARGETS = {"high": 0.95, "low": 0.05, "toxic": 0.0}
 
 
 def label_domain() -> Column:
@@ -22,85 +24,137 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
 
 
-def _words(docs: DataFrame, *keep) -> DataFrame:
-    """(…, pos, word, bucket, shape): all words of a text; one row with an empty word if it has none."""
-    w = docs.select(*keep, F.posexplode(F.split(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     "), " ", -1)).alias("pos", "word"))
-    return w.withColumn("bucket", F.pmod(F.xxhash64(F.lower("word")), F.lit(BUCKETS)).cast("int")).withColumn("shape", F.pmod(F.xxhash64(F.right("word", F.lit(2)), F.col("word") == F.upper("word")), F.lit(BUCKETS)).cast("int"))
+def _words(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(…, word, bucket, shape): all words of a text, and an empty one beside white space. `keep` are columns: an
+    expression over the text would be computed anew for every word."""
+    w = docs.select(*keep, F.explode(F.split(F.coalesce("text", F.lit("")), r"\s", -1)).alias("word"))
+    last = F.least(F.ascii(F.right("word", F.lit(1))), F.lit(127))
+    letter = last.between(65, 90) | last.between(97, 122)
+    shape = F.when(letter, 0).otherwise(last) + F.when((F.length("word") > 2) & (F.col("word") == F.upper("word")) & (F.col("word") != F.lower("word")), 128).otherwise(0)
+    return w.select(*keep, "word", F.pmod(F.xxhash64(F.lower("word")), F.lit(BUCKETS)).cast("int").alias("bucket"), (F.lit(BUCKETS) + shape).cast("int").alias("shape"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, domains: list[str], ws: Workspace, docs_per_domain: int = 2000, smoothing: float = 2.0) -> DataFrame:
-    """Weights (bucket, one array<double> of log probabilities for words and one for shapes): naive Bayes over BUCKETS
-    hashed words and as many hashed word shapes.
+def _scores(docs: DataFrame, keep: list[str], weights: DataFrame) -> DataFrame:
+    """(…, n, s0, s1, …): words and the sums of their weights for each distinct `keep`. The weights are one row of arrays
+    of BUCKETS + SHAPES numbers, which a scalar subquery hands to every task; words never meet a join."""
+    some = F.col("word") != ""
+    sums = [F.sum(F.when(some, F.get(weights.select(w).scalar(), F.col("bucket")) + F.get(weights.select(w).scalar(), F.col("shape"))).otherwise(0.0)).alias(f"s{w[1:]}") for w in weights.columns]
+    return _words(docs, keep).groupBy(*keep).agg(F.sum(some.cast("long")).alias("n"), *sums)
+
+
+def _calibrated(scores: np.ndarray, domain: np.ndarray, sizes: list[int], rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:
+    """Multinomial logistic regression of the sample's domains on its few scores (compressed: a long text must not
+    outvote everything by its length), with the priors moved from the sample's to those of all labels (`sizes`); equal
+    posteriors without a sample."""
+    c = np.zeros((len(sizes), scores.shape[1] + 1))
+    if not len(scores):
+        return c
+    x = np.concatenate([np.ones((len(scores), 1)), np.arcsinh(scores)], 1)
+    y = np.eye(len(sizes))[domain]
+    step = 2.0 / np.linalg.eigvalsh(x.T @ x / len(x)).max()
+    momentum = c
+    for r in range(rounds):
+        z = x @ momentum.T
+        p = np.exp(z - z.max(1, keepdims=True))
+        new = momentum - step * ((p / p.sum(1, keepdims=True) - y).T @ x / len(x) + ridge * momentum)
+        c, momentum = new, new + r / (r + 3) * (new - c)
+    c[:, 0] += np.log(np.maximum(sizes, 0.5) / np.maximum(y.sum(0), 0.5))
+    return c
+
+
+def fit(docs: DataFrame, labels: DataFrame, domains: list[str], ws: Workspace, docs_per_domain: int = 2000) -> tuple[DataFrame, np.ndarray]:
+    """(weights: one row with an array of BUCKETS + SHAPES log odds for each pair of domains, coefficients over the scores).
 
     The classifier sees a bounded sample: about `docs_per_domain` labelled documents of each domain, chosen by a hash of
-    the doc_id with a rate from the domain's row count, and their whole texts. The sample's ids are that few, and the
-    weights have BUCKETS rows: both may be broadcast.
+    the doc_id with a rate from the domain's row count, and their whole texts. A doc_id with several labels has the first
+    domain in order. A feature's weight for a pair is the log odds of one domain's documents that hold it against the
+    other's, and zero unless SURE: what tells two domains apart is not drowned by what tells both from a third. A logistic
+    regression over the sample's few scores a document gives the coefficients.
     """
-    named = labels.select("doc_id", label_domain().alias("domain")).filter("domain is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    named = labels.select("doc_id", label_domain().alias("domain")).filter("domain is not null and doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sizes = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     rate = F.coalesce(*[F.when(F.col("domain") == d, min(1.0, docs_per_domain / n)) for d, n in sizes.items()], F.lit(0.0)) if sizes else F.lit(0.0)
     chosen = named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < rate)
-    words = _words(docs.join(F.broadcast(chosen), "doc_id"), "domain").filter("word <> ''")
-    both = words.select("domain", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("bucket").alias("b")), F.struct(F.lit(1).alias("kind"), F.col("shape").alias("b")))).alias("x"))
-    counts = ws.save(both.groupBy("x.kind", "x.b").agg(*[F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)]), "word-counts")
-    totals = counts.groupBy("kind").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(domains))]).collect()
-    total = {(r["kind"], k): r[f"n{k}"] for r in totals for k in range(len(domains))}
-
-    def weights(kind: int) -> DataFrame:
-        log = [F.log((F.coalesce(f"n{k}", F.lit(0)) + smoothing) / (total.get((kind, k), 0) + smoothing * BUCKETS)) for k in range(len(domains))]
-        every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
-        return every.join(counts.filter(F.col("kind") == kind).drop("kind"), "b", "left").select("b", *[x.alias(f"{'ws'[kind]}{k}") for k, x in enumerate(log)])
-
-    return ws.save(weights(0).join(weights(1), "b"), "weights")
-
-
-def posteriors(docs: DataFrame, weights: DataFrame, domains: list[str], shape_share: float = 0.25) -> DataFrame:
+    sample = docs.join(chosen, "doc_id").select("domain", *row_key("doc_id", "text"), "text").dropDuplicates(["_k1", "_k2"])
+    sample = ws.save(sample, "sample")
+    k = range(len(domains))
+    counts = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    size = [float(counts.get(d, 0)) for d in domains]
+    words = _words(sample, ["domain", "_k1", "_k2"]).filter("word <> ''")
+    holds = words.select("domain", "_k1", "_k2", F.explode(F.array("bucket", "shape")).alias("f")).distinct()
+    found = holds.groupBy("f").agg(*[F.sum((F.col("domain") == d).cast("double")).alias(f"a{i}") for i, d in enumerate(domains)])
+
+    def weight(i: int, j: int) -> Column:
+        a, b, m, n = F.col(f"a{i}"), F.col(f"a{j}"), size[i], size[j]
+        if not m or not n:
+            return F.lit(0.0)
+        off = a * n - b * m
+        sure = off * off * (m + n) >= SURE * m * n * (a + b) * (m + n - a - b)
+        return F.when(sure & (off != 0), F.log((a + 0.5) / (m + 1)) - F.log((b + 0.5) / (n + 1))).otherwise(0.0)
+
+    every = docs.sparkSession.range(BUCKETS + SHAPES).select(F.col("id").cast("int").alias("f"))
+    pairs = [(i, j) for i in k for j in k if i < j]
+    placed = every.join(found.select("f", *[weight(i, j).alias(f"w{i}_{j}") for i, j in pairs]), "f", "left")
+    arrays = [F.transform(F.sort_array(F.collect_list(F.struct("f", F.coalesce(f"w{i}_{j}", F.lit(0.0)).alias("w")))), lambda x: x["w"]).alias(f"w{i}_{j}") for i, j in pairs]
+    weights = ws.save(placed.agg(*arrays), "weights")
+    seen = _scores(sample, ["domain", "_k1", "_k2"], weights).collect()
+    scores = np.array([[r[f"s{i}_{j}"] for i, j in pairs] for r in seen]).reshape(-1, len(pairs))
+    return weights, _calibrated(scores, np.array([domains.index(r["domain"]) for r in seen], int), [sizes.get(d, 0) for d in domains])
+
+
+def posteriors(docs: DataFrame, model: tuple[DataFrame, np.ndarray], domains: list[str]) -> DataFrame:
     """(_k1, _k2, c, n, p0, p1, …): for each distinct row its copies c, words n and the domains' posteriors.
 
-    Words count fully and shapes by `shape_share`, as both tell of the same token; priors are equal. Text without words
-    has equal posteriors.
-    """
-    k = range(len(domains))
-    words = _words(docs, *row_key("doc_id", "text"))
-    scored = words.join(F.broadcast(weights.select(F.col("b").alias("bucket"), *[f"w{i}" for i in k])), "bucket").join(F.broadcast(weights.select(F.col("b").alias("shape"), *[f"s{i}" for i in k])), "shape")
-    some = F.col("word") != ""
-    rows = scored.groupBy("_k1", "_k2").agg(F.sum((F.col("pos") == 0).cast("long")).alias("c"), F.sum(some.cast("long")).alias("n"), *[F.sum(F.when(some, F.col(f"w{i}") + shape_share * F.col(f"s{i}")).otherwise(0.0)).alias(f"l{i}") for i in k])
-    rows = rows.select("_k1", "_k2", "c", (F.col("n") / F.col("c")).cast("long").alias("n"), *[(F.col(f"l{i}") / F.col("c")).alias(f"l{i}") for i in k])
+    A text without words has the posteriors of a text without any telling word."""
+    weights, coefficients = model
+    k, scores = range(len(domains)), [f"s{w[1:]}" for w in weights.columns]
+    once = docs.select(*row_key("doc_id", "text"), "text")
+    # A copy of a row counts its words again: c is how often, and n and the scores are those of one.
+    copies = once.groupBy("_k1", "_k2").agg(F.count("*").alias("c"))
+    rows = _scores(once, ["_k1", "_k2"], weights).join(copies, ["_k1", "_k2"])
+    rows = rows.select("_k1", "_k2", "c", (F.col("n") / F.col("c")).cast("long").alias("n"), *[F.asinh(F.col(s) / F.col("c")).alias(s) for s in scores])
+    rows = rows.withColumns({f"l{i}": F.lit(float(x[0])) + sum((F.lit(float(b)) * F.col(s) for b, s in zip(x[1:], scores)), F.lit(0.0)) for i, x in enumerate(coefficients)})
     rows = rows.withColumn("top", F.greatest(*[f"l{i}" for i in k]) if len(domains) > 1 else F.col("l0"))
-    rows = rows.withColumns({f"e{i}": F.exp((F.col(f"l{i}") - F.col("top")) / TEMPERATURE) for i in k})
+    rows = rows.withColumns({f"e{i}": F.exp(F.col(f"l{i}") - F.col("top")) for i in k})
     total = sum((F.col(f"e{i}") for i in k), F.lit(0.0))
     return rows.select("_k1", "_k2", "c", "n", *[(F.col(f"e{i}") / total).alias(f"p{i}") for i in k])
 
 
-def fit_rates(rows: DataFrame, targets: list[float], ws: Workspace, most_rounds: int = 40, tolerance: float = 2e-4, every: int = 10) -> DataFrame:
-    """`rows` with rate: the nonnegative x that minimise sum_k (T_k - t_k)**2 / G_kk, T_k = sum c * x * n * p_k.
+def fit_rates(rows: DataFrame, targets: list[float], most_rounds: int = 40, tolerance: float = 1e-6, ridge: float = 1e-3) -> DataFrame:
+    """`rows` with rate: the nonnegative x that minimise sum_k (T_k - t_k)**2 + ridge * (mean over tokens of (x - 1)**2),
+    T_k the share of all tokens that domain k is expected to have, sum c * x * n * p_k over sum c * n, and t_k targets[k].
 
-    t_k is targets[k] of all tokens. It ends when the totals match or stand still to `tolerance` of all tokens. Projected gradient from x = 1: a step needs only the few totals T_k, which one
-    aggregation gives, so x is an expression over the residuals so far, and every `every` steps a table. Steps are
-    divided by a document's tokens, a diagonal metric in which documents with equal posteriors keep equal rates; the step
-    size is the inverse of the largest eigenvalue of the scaled Gram matrix G = sum c * n * p p'.
+    The ridge makes the rates unique and keeps them near one where targets can't be met: soft domains can't be emptied.
+    Projected gradient from x = 1 in a metric by tokens: a gradient is a combination of a document's posteriors, so the
+    point before its projection to x >= 0 is 1 - sum_k m_k * p_k, and all of it that moves are the few m_k. A step needs
+    the totals T_k and, to scale the gradient, the Gram matrix of the documents with x > 0; one aggregation gives both,
+    and no step writes a table. A step that does not come nearer is halved. Without tokens all rates are one.
     """
     k = range(len(targets))
-    x = rows.withColumn("rate", F.lit(1.0))
-    pairs = [(i, j) for i in k for j in k if i <= j]
-    g = rows.agg(F.sum(F.col("c") * F.col("n")).alias("all"), *[F.sum(F.col("c") * F.col("n") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    if not g["all"]:
-        return x
-    gram = np.array([[g[f"g{min(i, j)}_{max(i, j)}"] for j in k] for i in k]) / g["all"]
-    scale = np.where(np.diag(gram) > 1e-12, 1 / np.maximum(np.diag(gram), 1e-12), 0.0)
-    size = float(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)[None, :]).max())
-    goal, last = np.array(targets), None
-    for step in range(most_rounds):
-        t = x.agg(*[F.sum(F.col("c") * F.col("rate") * F.col("n") * F.col(f"p{i}")).alias(f"t{i}") for i in k]).first()
-        off = np.array([t[f"t{i}"] for i in k]) / g["all"] - goal
-        if np.abs(off).max() < tolerance or (last is not None and np.abs(off - last).max() < tolerance):
+    goal, m = np.array(targets), np.zeros(len(targets))
+    weight = F.col("c") * F.col("n")
+    at = lambda m: F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(float(v)) * F.col(f"p{i}") for i, v in enumerate(m)), F.lit(0.0)))
+    best, move = None, np.zeros(len(targets))
+    for _ in range(most_rounds):
+        x = rows.withColumn("x", at(m)).withColumn("on", (F.col("x") > 0).cast("int"))
+        sums = [F.sum(weight).alias("all"), *[F.sum(weight * F.col("x") * F.col(f"p{i}")).alias(f"t{i}") for i in k]]
+        got = x.agg(*sums, *[F.sum(weight * F.col("on") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in k for j in k if i <= j]).first()
+        if not got["all"]:
+            break
+        off = np.array([got[f"t{i}"] for i in k]) / got["all"] - goal - ridge * m
+        if best is not None and np.abs(off).max() > 0.9999 * best[1]:
+            move = move / 2
+            m = best[0] + move
+            if np.abs(move).max() < tolerance:
+                break
+            continue
+        best = (m, np.abs(off).max())
+        if best[1] < tolerance:
             break
-        last = off
-        move = scale * off / size
-        x = x.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - sum((F.lit(float(move[i])) * F.col(f"p{i}") for i in k), F.lit(0.0))))
-        if step % every == every - 1:
-            x = ws.save(x, f"rates-{step}")
-    return x
+        gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] for j in k] for i in k]) / got["all"]
+        move = np.linalg.solve(gram + ridge * np.eye(len(targets)), off)
+        m = m + move
+    return rows.withColumn("rate", at(best[0] if best else m))
 
 
 def mix(docs: DataFrame, labels: DataFrame, ws: Workspace, targets: Mapping[str, float] = TARGETS) -> DataFrame:
@@ -108,13 +162,13 @@ def mix(docs: DataFrame, labels: DataFrame, ws: Workspace, targets: Mapping[str,
 
     `targets` are the shares of the present tokens (words between ASCII white space) that the domains shall have in
     expectation; they may add up to more or less than one. Null and empty text has no tokens and rate 1. Rows that are
-    repeated each have their rate. Without a label for a domain its posteriors are those of smoothing alone. An empty
-    table gives an empty table; columns beyond doc_id, text and the labels' quality and toxic are not read.
+    repeated each have their rate. Without any label all posteriors are equal; a domain without one has next to none. An
+    empty table gives an empty table; columns beyond doc_id, text and the labels' quality and toxic are not read.
     """
     domains = sorted(targets)
     model = fit(docs.select("doc_id", "text"), labels, domains, ws)
     rows = ws.save(posteriors(docs.select("doc_id", "text"), model, domains), "posteriors")
-    rated = fit_rates(rows, [float(targets[d]) for d in domains], ws)
+    rated = fit_rates(rows, [float(targets[d]) for d in domains])
     return rated.select("_k1", "_k2", F.col("n").alias("n_tokens"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], F.when(F.col("n") == 0, 1.0).otherwise(F.col("rate")).alias("rate"))
 
 
@@ -123,6 +177,7 @@ def apply_rates(docs: DataFrame, rated: DataFrame) -> DataFrame:
     hash of the row. The rows carry no text of their own through the fit; they are joined once."""
     part = F.col("rate") - F.floor("rate")
     draw = F.pmod(F.xxhash64("_k2", "_k1"), F.lit(1 << 30)) / float(1 << 30)
-    times = rated.select("_k1", "_k2", (F.floor("rate") + (draw < part).cast("int")).cast("int").alias("_times")).filter("_times > 0")
-    rows = docs.select("*", *row_key("doc_id", "text")).join(times.hint("shuffle_hash"), ["_k1", "_k2"])
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+    k1, k2, n, one = free_names(docs, 4)
+    times = rated.select(F.col("_k1").alias(k1), F.col("_k2").alias(k2), (F.floor("rate") + (draw < part).cast("int")).cast("int").alias(n)).filter(F.col(n) > 0)
+    rows = docs.withColumns(dict(zip((k1, k2), row_key("doc_id", "text")))).join(times.hint("shuffle_hash"), [k1, k2])
+    return rows.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

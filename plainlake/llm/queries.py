@@ -77,8 +77,9 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plainlake.llm.audio import align, render
 
-    recordings = render(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return align(recordings, F.col("id") % 20 == 0, Workspace(spark, "audio"))
+    # A row of numbers becomes a hundred times as much sound: the small table is dealt out before that.
+    rows = read(spark, sf_dir, "embeddings").repartition(4 * spark.sparkContext.defaultParallelism, "vec_id")
+    return align(render(rows, "vec_id", "embedding"), Workspace(spark, "audio"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from itertools import count, islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,12 @@ def row_key(*cols: str) -> list[Column]:
     return [F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit(7), *cols).alias("_k2")]
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """`n` column names that `df` doesn't have, whatever its own are called."""
+    taken = {c.lower() for c in df.columns}
+    return list(islice((x for k in count() if (x := f"_pl{k}") not in taken), n))
+
+
 def ascii_space_trim(c: Column) -> Column:
     return F.trim(c, F.lit(" \t\n\x0b\x0c\r"))
 
@@ -76,23 +83,38 @@ def components(edges: DataFrame, ws: Workspace, name: str, most_rounds: int = 40
 
     Alternates the large-star and small-star steps until the edges are stars. Everything is distributed; each round
     is written to the shared folder, so that lineage stays short. Ids without an edge to another id are not returned.
+    An id with more than a HUBS-th of all edge ends has its neighbours' edges joined by a broadcast instead of a shuffle:
+    there are at most HUBS such ids, whatever the graph, so the centre of a large star is in no single task.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     now, seen = ws.save(now, f"{name}-0"), None
+    is_now = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     for k in range(1, most_rounds + 1):
+        if not is_now[0] or is_now == seen:
+            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        seen, ends = is_now, 2 * is_now[0]
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        least = ws.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), f"{name}-{k}-least")
+        # An edge (a, b) with the larger a: a goes to the least neighbour of b.
+        large = _to_least(now.select(F.col("b").alias("a"), F.col("a").alias("b")), least, ends).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = ws.save(large, f"{name}-{k}-large")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _to_least(large, ws.save(low, f"{name}-{k}-low"), ends).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         now = ws.save(small, f"{name}-{k}")
         is_now = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if is_now == seen:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        seen = is_now
     raise RuntimeError("the components did not settle")
 
 
+HUBS = 256
+
+
+def _to_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """`edges` (a, b) with m of `least` (a, m, n); hubs, of which there are HUBS at most, meet theirs by a broadcast."""
+    hubs = F.broadcast(least.filter(F.col("n") * HUBS > ends).select("a", "m"))
+    rest = edges.join(hubs, "a", "left_anti").join(least.filter(F.col("n") * HUBS <= ends).select("a", "m"), "a")
+    return edges.join(hubs, "a").select("a", "b", "m").unionByName(rest.select("a", "b", "m"))
+
+
 def rough_set(keys: DataFrame, column: str, bits: int = 1 << 22) -> DataFrame:
     """A bitmap of the hashes in `column`: at most bits / 64 rows (word, mask), 1 MB, whatever the input's size."""
     at = F.pmod(F.col(column), F.lit(bits))
