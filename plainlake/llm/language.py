@@ -12,17 +12,26 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plainlake.llm.bytehash import Powers, mix, prefix, spans
 from plainlake.llm.pieces import texts_of
 from plainlake.session import ship
 
-#: Runs of letters and combining marks. A word is scored with a space before it, as the vocabulary has its word starts.
+#: Runs of letters, and of other numbers than digits, which letters() takes out. A word is scored with a space before it,
+#: as the vocabulary has its word starts.
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-LONGEST = 32  # bytes of a word that is scored together with others
+LONGEST = 32  # bytes of a word that is scored together with others: no product of so few pieces underflows
+
+
+def letters(text: str) -> list[str]:
+    """The runs of letters (\\p{L}) of a text."""
+    found = WORD.findall(text)
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -44,6 +53,10 @@ class Model:
         self.version = hashlib.sha256(self.log_p.tobytes() + repr(self.languages).encode()).hexdigest()
         self.rows = {w: [math.exp(x) for x in self.log_p[i]] for w, i in self.pieces.items()}
         names = list(self.pieces)
+        self.reach: dict[bytes, int] = {}  # the longest piece with these first four bytes
+        for w in names:
+            if len(w) > 4:
+                self.reach[w[:4]] = max(self.reach.get(w[:4], 4), len(w))
         hashes = np.array([spans(prefix(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))[0] for w in names], np.uint64)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
@@ -54,25 +67,25 @@ class Model:
         the probability of the first j bytes, the sum over pieces w that end there of ways[j - len(w)] * p(w)."""
         b = (" " + word.lower()).encode()
         n, k, get = len(b), len(self.languages), self.rows.get
-        ways, scale = [[1.0] * k] + [None] * n, 0.0
-        for j in range(1, n + 1):
-            total = [0.0] * k
-            for i in range(max(0, j - self.longest), j):
-                if (p := get(b[i:j])) is not None and ways[i] is not None:
-                    w = ways[i]
+        ways, scale = [[1.0] * k] + [[0.0] * k for _ in range(n)], [0.0] * k
+        for i in range(n):
+            w = ways[i]
+            if i and i % 16 == 0 and min(w) < 1e-100:  # a long word would underflow: all that is still to be used grows alike
+                ahead = ways[i : i + self.longest + 1]
+                top = [max(v[x] for v in ahead) or 1.0 for x in range(k)]
+                for v in ahead:
+                    v[:] = [y / t for y, t in zip(v, top)]
+                scale = [s + math.log(t) for s, t in zip(scale, top)]
+            for j in range(i + 1, min(n, i + self.reach.get(b[i : i + 4], 4)) + 1):
+                if (p := get(b[i:j])) is not None:
+                    to = ways[j]
                     for x in range(k):
-                        total[x] += w[x] * p[x]
-            ways[j] = total
-            if j % 16 == 0 and (top := max(total)) < 1e-100:  # long words would underflow
-                for i in range(max(0, j - self.longest), j + 1):
-                    ways[i] = [x / top for x in ways[i]]
-                scale += math.log(top)
-        return [math.log(max(x, 1e-300)) + scale for x in ways[n]]
-
+                        to[x] += w[x] * p[x]
+        return [math.log(x) + s if x > 0 else -math.inf for x, s in zip(ways[n], scale)]
 
     def words(self, words: list[str]) -> np.ndarray:
         """word() for many: words of equal length go through the forward algorithm together, a piece is found by the hash
-        of its bytes. What is too long for plain doubles takes word()."""
+        of its bytes. What is over LONGEST bytes takes word(), which has the same sums."""
         raw = [(" " + w.lower()).encode() for w in words]
         out = np.empty((len(words), len(self.languages)))
         by: dict[int, list[int]] = {}
@@ -98,23 +111,22 @@ class Model:
                     has = np.flatnonzero(k < len(self.hashes))
                     if len(has):
                         ways[j, has] += ways[i, has] * self.p[k[has]]
-            out[at] = np.log(np.maximum(ways[n], 1e-300))
+            out[at] = np.log(ways[n])
         return out
 
 
 def train(counts: dict[str, dict[str, int]], pieces: dict[bytes, int], rounds: int = 4, smoothing: float = 0.1) -> Model:
     """Fits the piece probabilities of each language to word counts by expectation-maximisation: forward and backward
-    sums give the expected count of every piece over all segmentations of every word."""
+    sums give the expected count of every piece over all segmentations of every word. A piece that no word needs keeps
+    the smoothing's share, so that all of the vocabulary takes part."""
     longest = max((len(w) for w in pieces), default=1)
-    longest = min(longest, 16)
-    usable = {w: i for w, i in pieces.items() if len(w) <= longest}
-    used: dict[bytes, int] = {}
+    used = {w: i for i, w in enumerate(pieces)}
+    for b in range(256):
+        used.setdefault(bytes([b]), len(used))
     cuts: dict[str, list[tuple[int, int, int]]] = {}
     for word in {w for c in counts.values() for w in c}:
         b = (" " + word).encode()
-        cuts[word] = [(i, j, used.setdefault(b[i:j], len(used))) for j in range(1, len(b) + 1) for i in range(max(0, j - longest), j) if b[i:j] in usable]
-    for b in range(256):
-        used.setdefault(bytes([b]), len(used))
+        cuts[word] = [(i, j, used[b[i:j]]) for j in range(1, len(b) + 1) for i in range(max(0, j - longest), j) if b[i:j] in pieces or j == i + 1]
     log_p = np.zeros((len(used), len(counts)))
     for x, (_, words) in enumerate(sorted(counts.items())):
         p = np.full(len(used), 1.0 / len(used))
@@ -155,12 +167,12 @@ def fit(labelled: DataFrame, pieces: dict[bytes, int], docs_per_language: int =
     rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_language / n))])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = labelled.filter(chance < F.element_at(rate, F.col("lang")))
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), 1)).alias("word")).filter(F.length("word") <= 40)
+    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), 1)).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= words_per_language)
     found: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for lang in sizes:
-        for r in counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(words_per_language).collect():
-            found[lang][r["word"]] = r["n"]
+    for r in top.collect():
+        found[r["lang"]][r["word"]] = r["n"]
     return train(found, pieces)
 
 
@@ -188,7 +200,7 @@ def _predict(model: Model, keep: list[str], most_cached: int = 250_000):
         for batch in batches:
             best, score = [], []
             for texts in _runs(texts_of(batch)):
-                lists = [WORD.findall(t.lower()) for t in texts]
+                lists = [letters(t.lower()) for t in texts]
                 new = [w for w in dict.fromkeys(w for ws in lists for w in ws) if w not in row_of] if k else []
                 if len(row_of) + len(new) > most_cached:  # memory stays bounded: the whole cache goes
                     row_of.clear()
@@ -199,12 +211,9 @@ def _predict(model: Model, keep: list[str], most_cached: int = 250_000):
                     holder[0][len(row_of) : len(row_of) + len(new)] = model.words(new)
                     row_of.update(zip(new, range(len(row_of), len(row_of) + len(new))))
                 for words in lists:
-                    if not any(c.isalpha() for w in words for c in w):
+                    if not words or not k:
                         best.append(UNKNOWN), score.append(0.0)
                         continue
-                    if not k:
-                        best.append(None), score.append(0.0)
-                        continue
                     total = holder[0][np.fromiter(map(row_of.__getitem__, words), np.int64, len(words))].sum(0)
                     top = int(total.argmax())
                     best.append(model.languages[top])
@@ -219,7 +228,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     A text is the product of its words; a word sums over all its segmentations. Whole texts are scored. Null text and
     text without a letter is `und` with score 0; ties go to the first language in order. With nothing learned,
-    lang_pred is null. Map only: no shuffle; clashing columns give way; an empty table gives an empty table.
+    all are `und`. Words and texts may be of any length. Map only: no shuffle; clashing columns give way; an empty table gives an empty table.
     """
     ship(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
