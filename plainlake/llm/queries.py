@@ -58,7 +58,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("<|im_end|><|im_start|>assistant ok")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    windows = format_windows(turns.unionByName(own))
+    windows = format_windows(turns.unionByName(own), Workspace(spark, "chat"))
     return digests(read_windows(windows))
 
 
