@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainlake.llm.pieces import Bounded, Splitter, texts_of
+from plainlake.llm.shared import free_names
 from plainlake.session import ship
 
 CACHE = "tokenizer string, digest string, n_tokens long"
@@ -33,13 +34,15 @@ class Counter:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.count = lambda text: len(model.encode(text, num_threads=1))
             return
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        library.no_truncation(), library.no_padding()
         try:
             self.splitter = Splitter(path)
-            byte_level = type(self.splitter.library.pre_tokenizer).__name__ == "ByteLevel" and self.splitter.library.normalizer is None
+            byte_level = type(library.pre_tokenizer).__name__ == "ByteLevel" and library.normalizer is None
         except ValueError:
             byte_level = False
-        library = self.splitter.library
-        library.no_truncation(), library.no_padding()
         ask = lambda text: len(library.encode(text, add_special_tokens=False).ids)
         self.cache = Bounded(ask, most_cached)
         self.count = (lambda text: sum(map(self.cache.__getitem__, self.splitter(text)))) if byte_level else ask
@@ -72,7 +75,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, cache_path: st
     at most one copy of a text leave a task, so that groups of copies cost nothing), and the counts are appended as one
     Parquet write, which an aborted run leaves without its rows. One writer at a time: a digest is stored once, so the
     last join is left to Spark's skew handling and needs no aggregation. Null text counts as empty and has no tokens; repeated
-    rows each get their row back; clashing columns give way; an empty table gives an empty table.
+    rows each get their row back; columns named as the new ones give way; an empty table gives an empty table.
     """
     ship(spark)
     version = tokenizer_version(path)
@@ -82,10 +85,11 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, cache_path: st
     texts = docs.select(digest().alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
     missing = texts.groupBy("digest").agg(F.first("text").alias("text")).join(cache.select("digest"), "digest", "left_anti")
     missing.mapInArrow(_count(path, version), CACHE).write.mode("append").parquet(cache_path)
-    known = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer") == version).select(F.col("digest").alias("_digest"), "n_tokens")
     keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    rows = docs.select(*keep, digest().alias("_digest"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.join(known, "_digest", "left").drop("_digest").withColumn("over_limit", F.col("n_tokens") > limit)
+    (key,) = free_names(docs, 1)
+    known = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer") == version).select(F.col("digest").alias(key), "n_tokens")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], digest().alias(key), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return rows.join(known, key, "left").drop(key).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
