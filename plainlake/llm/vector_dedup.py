@@ -8,7 +8,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plainlake.llm.bytehash import mix
@@ -129,7 +129,11 @@ def _counted(threshold: float):
         for dim in {len(v) for v in vectors}:
             x, y = [k for k in a if len(vectors[k]) == dim], [k for k in b if len(vectors[k]) == dim]
             if x and y:
-                near = np.stack([vectors[k] for k in x]) @ np.stack([vectors[k] for k in y]).T >= threshold
+                u, v = np.stack([vectors[k] for k in x]), np.stack([vectors[k] for k in y])
+                dot = u @ v.T
+                for p, q in np.argwhere(np.abs(dot - threshold) < 1e-9):  # summed in the order in which links are confirmed
+                    dot[p, q] = np.cumsum(u[p] * v[q])[-1]
+                near = dot >= threshold
                 near &= ids[x][:, None] != ids[y][None, :]
                 got_ids += ids[x].tolist()
                 got += (near @ m[y]).tolist()
@@ -183,7 +187,9 @@ def near_vectors(vectors: DataFrame, ws: Workspace, threshold: float = 0.93) ->
     single = classes.filter("id is not null").groupBy("id").agg(F.sum("m").alias("m"), F.min("label").alias("label"))
     chosen = rows.filter("label is not null").select(F.col("vec_id").alias("id"), "embedding", "label").join(single, ["id", "label"])
     chosen = chosen.filter((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0))
-    chosen = chosen.dropDuplicates(["id"])
+    # Of several vectors with one id, the same one is taken in every run.
+    kinds = Window.partitionBy("id").orderBy("label", F.xxhash64("embedding"), F.xxhash64(F.lit(3), "embedding"))
+    chosen = chosen.withColumn("_r", F.row_number().over(kinds)).filter("_r = 1").drop("_r")
     cells = ws.save(chosen.select("id", "embedding", "label").mapInArrow(_lattice, "id long, home array<long>, probe array<long>, sketch array<long>, unit array<double>"), "cells")
 
     home = cells.select("id", F.explode("home").alias("key"))
@@ -207,9 +213,12 @@ def near_vectors(vectors: DataFrame, ws: Workspace, threshold: float = 0.93) ->
     placed = ws.save(placed, "placed")
     x = placed.select(F.col("id").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("a_s"), F.explode("home").alias("key"))
     y = placed.select(F.col("id").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("b_s"), F.explode(F.concat("home", "probe")).alias("key"))
-    mixed = x.select("key", "ca").unionByName(y.select("key", F.col("cb").alias("ca"))).groupBy("key").agg(F.min("ca").alias("p"), F.max("ca").alias("q")).filter("p <> q").select("key")
-    pairs = x.join(mixed, "key", "left_semi").join(y, "key").filter((F.col("ca") != F.col("cb")) & (apart("a_s", "b_s") <= FAR))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Under a key, the component with most vectors there never meets itself.
+    held = x.select("key", "ca").unionByName(y.select("key", F.col("cb").alias("ca"))).groupBy("key", "ca").agg(F.count("*").alias("n"))
+    mixed = ws.save(held.groupBy("key").agg(F.max_by("ca", F.struct("n", "ca")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main"), "mixed")
+    x, y = x.join(mixed, "key"), y.join(mixed, "key")
+    met = x.filter("ca <> main").join(y.drop("main"), "key").unionByName(x.filter("ca = main").join(y.filter("cb <> main").drop("main"), "key"))
+    pairs = met.filter((F.col("ca") != F.col("cb")) & (apart("a_s", "b_s") <= FAR)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = ws.save(confirmed(pairs), "links-2")
     of = ws.save(components(more.unionByName(of.select(F.col("id").alias("a"), F.col("component").alias("b"))), ws, "components-2"), "components")
     of = of.unionByName(of.select(F.col("component").alias("id"), "component").distinct())
