@@ -15,15 +15,16 @@ from plainlake.llm.shared import Workspace, components
 
 #: Collections of SIDE pairs of minhashes. A table's key joins a pair of the left and one of the right collection, so
 #: SIDE**2 tables of four rows cost 4 * SIDE minhashes; at a similarity of 0.75 a table is hit with 0.32, and all are
-#: missed with 0.003. A third collection refines the keys that too many texts share.
-SIDE, MINHASHES = 8, 48
+#: missed with 0.003.
+SIDE, MINHASHES = 8, 32
 #: A sketch keeps four bits of each of 128 more minhashes. Two of them are equal with similarity + (1 - similarity) / 16:
 #: of the 98 expected at 0.75, fewer than AGREE are with 5e-6. It costs a pair 64 bytes where its sets take kilobytes.
 SKETCHED, AGREE = 128, 77
 #: And a bitmap marks each shingle in one of BITS bits. Common shingles have common bits, so an intersection is at most
 #: the common bits and the shingles that share a bit with another one of their own set: a bound without any error.
 BITS = 1024
-CROWDED, PARTNERS = 4000, 3
+#: Rows of one key that are compared in one block; a key with more of them is compared in blocks, all pairs of which are.
+BLOCK, PARTNERS = 4000, 3
 
 _A = mix(np.arange(1, MINHASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + MINHASHES, dtype=np.uint64))
@@ -105,16 +106,16 @@ def _signatures(size: int):
     return run
 
 
-def _alike(t: int, ids: np.ndarray, c: np.ndarray, w: np.ndarray, lost: np.ndarray, packed: np.ndarray, similarity: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs (a, b, agreement) of the texts of one table that are in different components and may be alike. Each text
-    outside the largest component meets all, 64 at a time."""
+def _alike(t: int, own: np.ndarray, same: bool, ids: np.ndarray, c: np.ndarray, w: np.ndarray, lost: np.ndarray, packed: np.ndarray, similarity: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs (a, b, agreement) of the texts of one block that are in different components and may be alike. Each text
+    outside the largest component meets all, 64 at a time: those of its own part of the key if `same`, else the others."""
     marks, nibbles, halves = packed[:, : BITS // 8].view(np.uint64), packed[:, BITS // 8 : BITS // 8 + SKETCHED // 2].view(np.uint64), packed[:, BITS // 8 + SKETCHED // 2 :].view(np.uint32)
     names, counts = np.unique(c, return_counts=True)
     main = c == names[counts.argmax()]
     rows = np.flatnonzero(~main)
     for k in range(0, len(rows), 64):
         r = rows[k : k + 64]
-        ok = (c[r][:, None] != c) & (main | (ids[r][:, None] < ids)) & (100 * np.minimum(w[r][:, None], w) >= similarity * np.maximum(w[r][:, None], w))
+        ok = ((own[r][:, None] == own) == same) & (c[r][:, None] != c) & (main | (ids[r][:, None] < ids)) & (100 * np.minimum(w[r][:, None], w) >= similarity * np.maximum(w[r][:, None], w))
         x, y = np.nonzero(ok)
         x = r[x]
         common = np.bitwise_count(marks[x] & marks[y]).sum(1, dtype=np.int64) + np.minimum(lost[x], lost[y])
@@ -125,28 +126,27 @@ def _alike(t: int, ids: np.ndarray, c: np.ndarray, w: np.ndarray, lost: np.ndarr
         d |= d >> np.uint64(2)
         agree = SKETCHED - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
         on = agree >= AGREE
-        if t >= 0:  # the pair counts in the first table it shares: that of the first equal halves
-            same = halves[x] == halves[y]
-            on &= (same[:, :SIDE].argmax(1) == t // SIDE) & (same[:, SIDE:].argmax(1) == t % SIDE)
+        equal = halves[x] == halves[y]  # the pair counts in the first table it shares: that of the first equal halves
+        on &= (equal[:, :SIDE].argmax(1) == t // SIDE) & (equal[:, SIDE:].argmax(1) == t % SIDE)
         x, y, agree = x[on], y[on], agree[on]
         yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), agree
 
 
 def _open_pairs(similarity: int):
-    """Rows sorted by key; a key's rows are held together, which CROWDED and the split beyond it keep few."""
+    """Rows sorted by key, the name of a block; its rows are held together, some 2 * BLOCK at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def out(groups: list[list[np.ndarray]]) -> pa.RecordBatch:
-            found = [p for _, t, *rest in groups for p in _alike(int(t[0]), *rest, similarity)]
+            found = [p for _, t, same, own, *rest in groups for p in _alike(int(t[0]), own, bool(same[0]), *rest, similarity)]
             cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ([], [], []))]
             return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=["a", "b", "agree"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "t", "id", "c", "w", "lost")]
+            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "t", "same", "own", "id", "c", "w", "lost")]
             blob = batch.column("packed")
             at = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]
             cols.append(np.frombuffer(blob.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(blob), -1))
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 5, similarity: i
 
     Candidates never come as all pairs of a group. Each class first meets the leader of one of its tables, the likeliest
     by their sketches, then the leaders of its other tables unless they are connected already; then, within a table, only
-    texts of different components are paired (in tables of over CROWDED texts after a split by the third collection):
+    texts of different components are paired, in blocks where a key has more than BLOCK of them and without a loss:
     the PARTNERS likeliest of each text first, and at last what is not connected yet. A pair counts in the first table it
     shares. Its sizes and bitmaps must allow the similarity, and it must agree in AGREE of the sketches' minhashes; every
     link is confirmed on the full sets.
@@ -257,10 +257,11 @@ def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 5, similarity: i
         return t.join(keys, "key")
 
     open_ = ws.save(split(labelled(tables.select("key", "t", "id"), "id", "c")), "open")
-    sigs = reps.select(F.col("doc_id").alias("id"), "sig")
-    finer = open_.filter(F.col("m") > CROWDED).drop("m").join(sigs, "id").select("id", "c", F.lit(-1).alias("t"), F.explode(F.transform(_halves("sig", 4 * SIDE), lambda h: _key(F.col("key"), h))).alias("key"))
-    rest = open_.filter(F.col("m") <= CROWDED).drop("m").unionByName(split(finer).drop("m")).join(sketches.select("id", "w", "lost", "packed"), "id")
-    dealt = rest.select("key", "t", "id", "c", "w", "lost", "packed").repartition("key").sortWithinPartitions("key")
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = open_.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    block = _key(F.col("key"), F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select(block.alias("key"), "t", (F.col("own") == F.col("other")).cast("int").alias("same"), "own", "id", "c").join(sketches.select("id", "w", "lost", "packed"), "id")
+    dealt = dealt.select("key", "t", "same", "own", "id", "c", "w", "lost", "packed").repartition("key").sortWithinPartitions("key")
     pairs = dealt.mapInArrow(_open_pairs(similarity), "a long, b long, agree long").groupBy("a", "b").agg(F.max("agree").alias("agree"))
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = ws.save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
