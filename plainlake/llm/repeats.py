@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plainlake.llm.bytehash import Powers, mix, prefix, spans
-from plainlake.llm.shared import Workspace, rough_set, rough_split
+from plainlake.llm.shared import Workspace, free_names, rough_set, rough_split
 
 _SEGMENT, _LOW = 1 << 19, (1 << 20) - 1
 
@@ -149,12 +149,12 @@ def _windows(depth: int):
     return run
 
 
-def _remove(depth: int, keep: list[str], texts: bool):
+def _remove(depth: int, keep: list[str], at: str, texts: bool):
     def run(batches):
         for whole in batches:
             for batch in _sizes(whole):
                 out: list[list] = [[], [], [], []]
-                for value, cuts in zip(batch.column("text"), batch.column("cuts")):
+                for value, cuts in zip(batch.column("text"), batch.column(at)):
                     b = _bytes(value)
                     left, spans_ = b, 0
                     if cuts.is_valid and len(cuts):
@@ -188,18 +188,19 @@ def remove_repeats(docs: DataFrame, ws: Workspace, depth: int = 400, texts: bool
     a match needs two of them (gram and window).
     """
     named = docs.select(*docs.columns, *([] if "text" in docs.columns else [F.lit(None).cast("string").alias("text")]))
-    keyed = named.withColumn("text", F.coalesce("text", F.lit(""))).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(5), "text"), "n_bytes": F.octet_length("text").cast("long")})
-    source = keyed.select("t1", "t2", "n_bytes", "text")
+    t1, t2, at = free_names(named, 3)
+    keyed = named.withColumn("text", F.coalesce("text", F.lit(""))).withColumns({t1: F.xxhash64("text"), t2: F.xxhash64(F.lit(5), "text"), "n_bytes": F.octet_length("text").cast("long")})
+    source = keyed.select(F.col(t1).alias("t1"), F.col(t2).alias("t2"), "n_bytes", "text")
     here = F.xxhash64("t1", "t2", "lo")
     met = [F.min(here).alias("_a"), F.max(here).alias("_b")]
 
     def repeated(rows: DataFrame, *by: str) -> DataFrame:
-        """The digits that occur at two places."""
-        return rows.groupBy(*by).agg(*met).filter("_a <> _b")
+        """The digits that occur at two places; a table of their own, so that a join may split the rows of a hot one."""
+        return ws.save(rows.groupBy(*by).agg(*met).filter("_a <> _b").select(*by), "repeated-" + "-".join(by))
 
     first = ws.save(source.mapInArrow(_first_digits(depth), "t1 long, t2 long, n_bytes long, grams array<long>, places array<int>"), "first")
     suffix = first.select("t1", "t2", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("t1", "t2", F.col("x.grams").alias("gram"), F.col("x.places").alias("lo"))
-    spots = suffix.join(repeated(suffix, "gram").select("gram"), "gram").groupBy("t1", "t2").agg(F.collect_set("lo").alias("places"))
+    spots = suffix.join(repeated(suffix, "gram"), "gram").groupBy("t1", "t2").agg(F.collect_set("lo").alias("places"))
     spots = ws.save(spots, "spots")
 
     def with_text(keys: DataFrame) -> DataFrame:
@@ -208,15 +209,15 @@ def remove_repeats(docs: DataFrame, ws: Workspace, depth: int = 400, texts: bool
         return near.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(keys.hint("shuffle_hash"), ["t1", "t2"])
 
     buckets = ws.save(with_text(spots).mapInArrow(_later_digits(depth), "t1 long, t2 long, gram long, core long, hull long, lo int, hi int"), "buckets")
-    alike = ws.save(buckets.join(repeated(buckets, "gram", "core").select("gram", "core"), ["gram", "core"]), "cores")
+    alike = ws.save(buckets.join(repeated(buckets, "gram", "core"), ["gram", "core"]), "cores")
     hulls = ws.save(alike.groupBy("gram", "core", "hull").agg(*met), "hulls")
     settled = alike.join(hulls.filter("_a <> _b").select("gram", "core", "hull"), ["gram", "core", "hull"], "left_semi").select("t1", "t2", "lo", "hi")
-    unsettled = hulls.groupBy("gram", "core").agg(F.max(F.col("_a") == F.col("_b")).alias("any")).filter("any").select("gram", "core")
+    unsettled = ws.save(hulls.groupBy("gram", "core").agg(F.max(F.col("_a") == F.col("_b")).alias("any")).filter("any").select("gram", "core"), "unsettled")
     chosen = hulls.join(unsettled, ["gram", "core"], "left_semi").select("gram", "core", "hull", "_a")
     todo = alike.withColumn("_a", here).join(chosen, ["gram", "core", "hull", "_a"], "left_semi").select("t1", "t2", F.struct("lo", "hi", "gram").alias("e"))
     todo = ws.save(todo.groupBy("t1", "t2").agg(F.collect_set("e").alias("todo")), "todo")
     windows = ws.save(with_text(todo).mapInArrow(_windows(depth), "t1 long, t2 long, gram long, window long, lo int"), "windows")
-    single = windows.join(repeated(windows, "gram", "window").select("gram", "window"), ["gram", "window"]).select("t1", "t2", "lo", F.col("lo").alias("hi"))
+    single = windows.join(repeated(windows, "gram", "window"), ["gram", "window"]).select("t1", "t2", "lo", F.col("lo").alias("hi"))
     copied = first.groupBy("t1", "t2").agg(F.count("*").alias("m"), F.max("n_bytes").alias("n")).filter((F.col("m") > 1) & (F.col("n") >= depth))
     whole = copied.select("t1", "t2", F.lit(0).alias("lo"), (F.col("n") - depth).cast("int").alias("hi"))
     cuts = settled.unionByName(single).unionByName(whole).groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
@@ -226,8 +227,9 @@ def remove_repeats(docs: DataFrame, ws: Workspace, depth: int = 400, texts: bool
     keep = [c for c in docs.columns if c not in ("n_bytes", "text", *new)] + ["n_bytes"]
     kinds = dict(keyed.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_removed long, n_spans long, kept_sha256 string"] + ["kept binary"] * texts)
-    near, far = rough_split(keyed, "t1", rough_set(cuts, "t1"))
-    touched = near.join(cuts, ["t1", "t2"], "left").select(*keep, "text", "cuts").mapInArrow(_remove(depth, keep, texts), schema)
+    near, far = rough_split(keyed, t1, rough_set(cuts, "t1"))
+    own = [F.col(f"`{c}`") for c in keep]
+    touched = near.join(cuts.withColumnsRenamed({"t1": t1, "t2": t2, "cuts": at}), [t1, t2], "left").select(*own, "text", at).mapInArrow(_remove(depth, keep, at, texts), schema)
     raw = F.col("text").cast("binary")
-    free = far.select(*keep, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), *([raw.alias("kept")] if texts else []))
+    free = far.select(*own, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), *([raw.alias("kept")] if texts else []))
     return touched.unionByName(free)

@@ -124,7 +124,8 @@ def rough_set(keys: DataFrame, column: str, bits: int = 1 << 22) -> DataFrame:
 def rough_split(rows: DataFrame, column: str, known: DataFrame, bits: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
     """(rows whose hash may be in the set, rows whose hash is not), without a shuffle: the bitmap's size is bounded by
     `bits`, so it is broadcast. Where most bits are set the first part is simply larger; a join must follow it."""
+    word, mask = free_names(rows, 2)
     at = F.pmod(F.col(column), F.lit(bits))
-    marked = rows.withColumn("_word", F.floor(at / 64).cast("int")).join(F.broadcast(known), "_word", "left")
-    hit = F.coalesce(F.getbit(F.col("_mask"), (at % 64).cast("int")) == 1, F.lit(False))
-    return marked.filter(hit).drop("_word", "_mask"), marked.filter(~hit).drop("_word", "_mask")
+    marked = rows.withColumn(word, F.floor(at / 64).cast("int")).join(F.broadcast(known.withColumnsRenamed({"_word": word, "_mask": mask})), word, "left")
+    hit = F.coalesce(F.getbit(F.col(mask), (at % 64).cast("int")) == 1, F.lit(False))
+    return marked.filter(hit).drop(word, mask), marked.filter(~hit).drop(word, mask)
