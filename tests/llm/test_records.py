@@ -53,7 +53,7 @@ def test_chat(spark):
     from plainlake.llm.chat import digests, format_windows, read_windows
 
     df = spark.createDataFrame(turns(), "conv_id long, turn long, role string, text string").withColumn("window", F.lit(1)).repartition(5)
-    windows = format_windows(df, budget=400, history=2, history_tokens=60).cache()
+    windows = format_windows(df, Workspace(spark, "t"), budget=400, history=2, history_tokens=60).cache()
     got = {r["conv_id"]: r for r in digests(read_windows(windows)).collect()}
     by = {}
     for c, t, r, x in turns():
@@ -68,7 +68,11 @@ def test_chat(spark):
     assert len(ws) > 10 and not any(w["over_budget"] for w in ws) and all(w["n_tokens"] <= 400 for w in ws)
     assert all(w["formatted"].startswith("<|im_start|>system\n") for w in ws) and all(1 <= w["n_repeated"] <= 3 for w in ws[1:])
     assert [w["conv_id"] for w in windows.filter("over_budget").collect()] == [3]
-    assert format_windows(df.limit(0)).count() == 0
+    new = windows.filter("conv_id = 5").agg(F.avg("n_tokens")).first()[0]
+    assert new > 0.7 * 400  # windows are filled, not half empty
+    counted = format_windows(df.withColumn("mine", F.lit(90)), Workspace(spark, "t"), budget=400, history=0, history_tokens=0, tokens="mine").filter("conv_id = 5").collect()
+    assert sum(w["n_turns"] == 3 for w in counted) > 0.9 * len(counted) and all(w["n_tokens"] <= 400 for w in counted)  # the system turn and three more
+    assert format_windows(df.limit(0), Workspace(spark, "t")).count() == 0
 
 
 def test_mixing(spark):
@@ -105,9 +109,19 @@ def test_audio(spark):
     assert len(fingerprint(*decode(b"no audio"))) == 0 and len(fingerprint(np.zeros(20000), 4000)) and not fingerprint(np.zeros(20000), 4000).any()
     noisy = np.clip(song + 0.01 * rng.standard_normal(len(song)), -1, 1)
     media = [(0, encode(song, 4000)), (1, encode(noisy, 4000)), (2, encode(0.5 * song[256 * 10 :], 4000)), (3, encode(tones(rng.standard_normal(64)), 4000)), (4, None), (5, b""), (6, encode(song, 4000)), (None, encode(song, 4000)), (7, encode(np.zeros(9000), 4000))]
-    rows = align(spark.createDataFrame(media, "id long, media binary"), F.col("id") == 0, Workspace(spark, "t")).collect()
-    assert {(r["match_id"], r["shift"]) for r in rows} == {(1, 0), (2, -10), (6, 0)}
-    assert all(r["error_rate"] < 0.1 for r in rows)
+    rows = {r["id"]: r for r in align(spark.createDataFrame(media, "id long, media binary"), Workspace(spark, "t")).collect()}
+    assert {i: r["component_id"] for i, r in rows.items()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 0, None: 0, 7: 7}
+    assert {i: (r["match_id"], r["shift"]) for i, r in rows.items()} == {0: (2, 10), 1: (0, 0), 2: (0, -10), 3: (None, None), 4: (None, None), 5: (None, None), 6: (0, 0), None: (0, 0), 7: (None, None)}
+    assert all(r["error_rate"] < 0.1 for r in rows.values() if r["match_id"] is not None) and rows[4]["n_prints"] == 0
+    wide = np.repeat((np.clip(song, -1, 1) * 8388607).astype("<i4")[:, None], 2, 1).ravel()
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(2), w.setsampwidth(3), w.setframerate(4000)
+        w.writeframes(wide.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
+    assert np.abs(decode(out.getvalue())[0] - song).max() < 1e-4
 
 
 @pytest.mark.parametrize("name", ["documents"])
