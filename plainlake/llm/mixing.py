@@ -75,7 +75,9 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], ws: Workspace, d
     sizes = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     rate = F.coalesce(*[F.when(F.col("domain") == d, min(1.0, docs_per_domain / n)) for d, n in sizes.items()], F.lit(0.0)) if sizes else F.lit(0.0)
     chosen = named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < rate)
-    sample = docs.join(chosen, "doc_id").select("domain", *row_key("doc_id", "text"), "text").dropDuplicates(["_k1", "_k2"])
+    chosen = ws.save(chosen, "chosen")
+    few = chosen.count() <= 2 * docs_per_domain * max(len(sizes), 1)  # ids; else the join is a shuffle
+    sample = docs.join(F.broadcast(chosen) if few else chosen, "doc_id").select("domain", *row_key("doc_id", "text"), "text").dropDuplicates(["_k1", "_k2"])
     sample = ws.save(sample, "sample")
     k = range(len(domains))
     counts = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
