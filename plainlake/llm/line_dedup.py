@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plainlake.llm.shared import Workspace, ascii_lower, ascii_space_trim, row_key
+from plainlake.llm.shared import Workspace, ascii_lower, ascii_space_trim, free_names, row_key
 
 RUN = ["h1", "h2", "n_docs", "keeper"]
 
@@ -70,7 +70,8 @@ def _lines(text: str = "text") -> Column:
 
 def long_lines(docs: DataFrame, least_chars: int) -> DataFrame:
     """(h1, h2, doc, _k1, _k2, pos) of the lines whose key has least_chars code points."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), *row_key("doc_id", "text"), F.posexplode(_lines()).alias("pos", "line"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), *row_key("doc_id", "text"), "text")
+    rows = keyed.select("doc", "_k1", "_k2", F.posexplode(_lines()).alias("pos", "line"))  # beside it, the keys would be hashed anew for every line
     rows = rows.withColumn("line", ascii_space_trim(F.col("line"))).filter(F.length("line") >= least_chars).withColumn("line", ascii_lower(F.col("line")))
     return rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line").alias("h2"), "doc", "_k1", "_k2", "pos")
 
@@ -80,8 +81,8 @@ def dedup_lines(docs: DataFrame, ws: Workspace, least_chars: int = 40, least_doc
 
     A line's key is the line without [\\x20\\x09-\\x0D] at its ends and with A-Z lower-cased. Keys of at least
     `least_chars` code points that at least `least_docs` documents hold lose all their lines except in the largest doc_id.
-    Other lines stay in their order. Null and empty text is one empty line. Rows that share a doc_id count as one document;
-    a null doc_id is the smallest of all. Equal rows each lose the same lines. Clashing columns give way; an empty table
+    Other lines stay in their order. Null and empty text is one empty line; a text may be of any length. Rows that share a doc_id count as one document;
+    a null doc_id is the smallest of all. Equal rows each lose the same lines. Columns named as the new ones give way; others may have any name. An empty table
     gives an empty table.
 
     The text is read twice. First, hashes and places of the long lines are written, dealt into `batches` by doc_id; every
@@ -96,12 +97,14 @@ def dedup_lines(docs: DataFrame, ws: Workspace, least_chars: int = 40, least_doc
     drop = at.join(frequent, ["h1", "h2"]).filter("doc < keeper").groupBy("_k1", "_k2", "pos").agg(F.lit(1).alias("_one"))
     drop = drop.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list("pos")).alias("_drop"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", out)]
-    rows = docs.select(*keep, *([] if "text" in keep else ["text"]), *row_key("doc_id", "text"))
-    rows = rows.join(drop.hint("shuffle_hash"), ["_k1", "_k2"], "left")
+    k1, k2, gone, parts = free_names(docs, 4)
+    rows = docs.withColumns(dict(zip((k1, k2), row_key("doc_id", "text"))))
+    rows = rows.join(drop.withColumnsRenamed({"_k1": k1, "_k2": k2, "_drop": gone}).hint("shuffle_hash"), [k1, k2], "left").withColumn(parts, _lines())
+    gone, parts = F.col(gone), F.col(parts)
     # The kept lines are the runs between two dropped places, so the work is linear in the lines of a document.
-    n = F.coalesce(F.size("_drop"), F.lit(0))
-    first = lambda i: F.when(i == 0, 0).otherwise(F.element_at("_drop", F.greatest(i, F.lit(1))) + 1)
-    last = lambda i: F.when(i == F.size("_drop"), F.size("_lines")).otherwise(F.element_at("_drop", F.least(i + 1, F.size("_drop"))))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_drop")), lambda i: F.slice("_lines", first(i) + 1, last(i) - first(i))))
-    rows = rows.withColumn("_lines", _lines()).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", F.when(F.col("_drop").isNull(), 0).otherwise(n).cast("long"))
-    return rows.select(*keep, "n_lines", "n_dropped", F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias(out))
+    first = lambda i: F.when(i == 0, 0).otherwise(F.element_at(gone, F.greatest(i, F.lit(1))) + 1)
+    last = lambda i: F.when(i == F.size(gone), F.size(parts)).otherwise(F.element_at(gone, F.least(i + 1, F.size(gone))))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(parts, first(i) + 1, last(i) - first(i))))
+    n_dropped = F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped")
+    text = F.when(gone.isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias(out)
+    return rows.select(*[F.col(f"`{c}`") for c in keep], F.size(parts).cast("long").alias("n_lines"), n_dropped, text)
