@@ -24,7 +24,7 @@ SKETCHED, AGREE = 128, 77
 #: the common bits and the shingles that share a bit with another one of their own set: a bound without any error.
 BITS = 1024
 #: Rows of one key that are compared in one block; a key with more of them is compared in blocks, all pairs of which are.
-BLOCK, PARTNERS = 4000, 3
+BLOCK, PARTNERS = 1000, 3
 
 _A = mix(np.arange(1, MINHASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + MINHASHES, dtype=np.uint64))
