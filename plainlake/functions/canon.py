@@ -65,10 +65,19 @@ def spark_type(declared: str) -> T.DataType:
 
 def double_text(c: Column) -> Column:
     """The shortest decimal of a double, never with an exponent, and without a fraction if it is whole."""
-    short = c.cast("string")
-    plain = F.rtrim(F.rtrim(c.cast("decimal(38,18)").cast("string"), F.lit("0")), F.lit("."))
-    whole = (c == F.rint(c)) & (F.abs(c) < 9.2e18)
-    return F.when(F.isnan(c), "NaN").when(whole, c.cast("bigint").cast("string")).when(short.contains("E") & (F.abs(c) < 1e20), plain).otherwise(short)
+    short = c.cast("string")  # d.ddd, or d.dddEx for what is very small or large
+    size = F.replace(short, F.lit("-"), F.lit(""))
+    exponent = F.when(short.contains("E"), F.substring_index(short, "E", -1)).otherwise("0").cast("int")
+    digits = F.rtrim(F.replace(F.substring_index(F.replace(size, F.lit("E-"), F.lit("E")), "E", 1), F.lit("."), F.lit("")), F.lit("0"))
+    n = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    large = F.concat(digits, F.repeat(F.lit("0"), exponent - n + 1))
+    between = F.concat(F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2))
+    plain = F.when(exponent < 0, small).when(exponent >= n - 1, large).otherwise(between)
+    sign = F.when(short.startswith("-"), "-").otherwise("")
+    whole = F.when(short.endswith(".0"), F.substr(short, F.lit(1), F.length(short) - 2)).otherwise(short)
+    special = F.when(F.isnan(c), "NaN").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+    return F.when(c.isNull(), None).when(special.isNotNull(), special).when(short.contains("E"), F.concat(sign, plain)).otherwise(whole)
 
 
 def text(c: Column, kind: T.DataType) -> Column:

@@ -114,12 +114,13 @@ def merge(base: DataFrame, left: DataFrame, right: DataFrame, pk: Sequence[str],
     columns = F.when(is_conflict, F.filter(F.array(*cells), lambda x: x.isNotNull())) if cells else F.lit(None).cast("array<struct<name:string,base:string,left:string,right:string>>")
     named = F.struct(*[F.col(f"_res.v{i}").alias(v) for i, v in enumerate(values)])
     out = every.withColumn("_res", result).withColumn("columns", columns)
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(pk)], "class", conflict.alias("conflict"), "columns", F.when(F.col("_res").isNotNull(), named).alias("result") if values else F.lit(None).alias("result"), F.col("_res").isNotNull().alias("stays"))
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(pk)], "class", conflict.alias("conflict"), "columns", (F.when(F.col("_res").isNotNull(), named) if values else F.lit(None)).alias("result"), F.col("_res").isNotNull().alias("stays"))
 
 
 def merged_table(merged: DataFrame, pk: Sequence[str]) -> DataFrame:
     """The rows that stay, as text columns; the NULL mark becomes NULL again."""
-    flat = merged.filter("stays").select(*[F.col(f"`{k}`") for k in pk], "result.*")
+    values = ["result.*"] if isinstance(merged.schema["result"].dataType, T.StructType) else []  # else all columns are keys
+    flat = merged.filter("stays").select(*[F.col(f"`{k}`") for k in pk], *values)
     return flat.select(*[F.when(F.col(f"`{c}`") != NULL_MARK, F.col(f"`{c}`")).alias(c) for c in flat.columns])
 
 
@@ -137,12 +138,43 @@ def row_digest(df: DataFrame, numeric_only: bool = True) -> Column:
     return F.sha2(F.concat(*parts).cast("binary"), 256) if parts else F.sha2(F.lit("").cast("binary"), 256)
 
 
+def _hashed(df: DataFrame) -> list[Column]:
+    """What a row's hashes are taken of: numbers as whole ones or as doubles rounded to ten places, so that equal values
+    of different types agree, other columns as canonical texts, and which cells are NULL."""
+    out: list[Column] = []
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
+            out.append(c.cast("bigint"))
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            d = c.cast("double")
+            whole = (d == F.rint(d)) & (F.abs(d) < 9.2e18)
+            # From 900,000 on ten places are finer than a double is.
+            out += [F.when(whole, d).cast("bigint"), F.when(~whole, F.when(F.abs(d) < 9e5, F.rint(d * 1e10) / 1e10).otherwise(d))]
+        elif isinstance(f.dataType, T.NumericType):
+            out.append(normal_number(c, f.dataType))
+        else:
+            out.append(encoded(c, f.dataType))
+    nulls = [F.when(F.col(f"`{f.name}`").isNull(), F.lit(1 << (k % 60))).otherwise(F.lit(0)).cast("bigint") for k, f in enumerate(df.schema)]
+    for k in range(0, len(nulls), 60):
+        part = nulls[k]
+        for x in nulls[k + 1 : k + 60]:
+            part = part.bitwiseOR(x)
+        out.append(part)
+    return out or [F.lit(0)]
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row (n_rows, digest), equal for equal multisets of rows however they are ordered or partitioned: the sums of
-    four 60-bit pieces of the rows' digests, hashed. One partial aggregation, no sort."""
-    d = df.select(row_digest(df).alias("d"))
-    pieces = [F.coalesce(F.sum(F.conv(F.substring("d", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string") for k in range(4)]
-    return d.agg(F.count("*").alias("n_rows"), F.concat_ws("/", *pieces).alias("s")).select("n_rows", F.sha2(F.concat_ws("/", F.col("n_rows").cast("string"), "s").cast("binary"), 256).alias("digest"))
+    """One row (n_rows, digest), equal for equal multisets of rows however they are ordered or partitioned: the sums of the
+    halves of two 64-bit hashes a row, digested. One partial aggregation to 4096 rows, no sort; in each of them a sum of
+    halves stays below 2**63 up to 2**31 rows."""
+    cells, low = _hashed(df), F.lit(0xFFFFFFFF)
+    h = df.select(F.xxhash64(*cells).alias("x"), F.xxhash64(F.lit(40503), *cells).alias("y"))
+    halves = [f(c).alias(f"{c}{n}") for c in "xy" for n, f in ((0, lambda c: F.sum(F.col(c).bitwiseAND(low))), (1, lambda c: F.sum(F.shiftright(c, 32))))]
+    some = h.groupBy(F.col("x").bitwiseAND(F.lit(4095)).alias("g")).agg(F.count("*").alias("n"), *halves)
+    total = [F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string") for c in ("x0", "x1", "y0", "y1")]
+    d = some.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.concat_ws("/", *total).alias("s"))
+    return d.select("n_rows", F.sha2(F.concat_ws("/", F.col("n_rows").cast("string"), "s").cast("binary"), 256).alias("digest"))
 
 
 def change_status(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame]) -> list[tuple[str, str]]:
@@ -169,8 +201,9 @@ def checksum(tables: Mapping[str, DataFrame], declared: Mapping[str, Sequence[tu
         h.update(f"\1DATA:{t}\0".encode())
         c = canonical(df, [n for n, _ in own])
         c = c.orderBy(*[F.col(f"`{n}`") for n in (pk or c.columns)], *[F.col(f"`{n}`") for n in c.columns if n not in pk])
-        for row in c.select(*[normal_value(F.col(f"`{n}`")).alias(n) for n in c.columns]).toLocalIterator():
-            h.update(b"".join(v.encode() + b"\0" for v in row) + b"\1")
+        line = F.concat(*[x for n in c.columns for x in (normal_value(F.col(f"`{n}`")), F.lit("\0"))], F.lit("\1"))
+        for (row,) in c.select(line).toLocalIterator(prefetchPartitions=True):
+            h.update(row.encode())
         h.update(b"\2")
     h.update(b"".join(f"VIEW:{v}\0".encode() for v in sorted(views)) + b"\3")
     return h.hexdigest()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plainlake.functions.canon import natural_key
 from plainlake.operators.compare import canonical
+from plainlake.session import Workspace, free_names
 
 SYNTHETIC = "__plain_rowid"
 
@@ -40,15 +41,17 @@ def with_synthetic_key(df: DataFrame, order: Sequence[str] | None = None) -> Dat
     """`df` with a first column of row numbers from 1 in a total order (all columns' texts unless `order` says other).
 
     Rows are sorted by range, numbered within their partitions and shifted by the partitions' counts, so no window puts
-    the table into one task. The sorted rows are persisted, as both passes must see the same partitions.
+    the table into one task. The sorted rows are written to the shared folder, as both passes must see the same
+    partitions even if an executor is lost between them.
     """
     keys = [F.col(f"`{c}`") for c in order] if order else order_keys(df, df.columns)
-    sorted_ = df.orderBy(*keys).persist().withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    counts = sorted_.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    shifts = counts.select("_p", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    out = sorted_.join(F.broadcast(shifts), "_p")
-    return out.select((F.col("_m") - F.col("_first") + F.col("_s") + 1).cast("long").alias(SYNTHETIC), *[F.col(f"`{c}`") for c in df.columns])
+    part, at, n, first, shift = free_names(df, 5)
+    sorted_ = Workspace(df.sparkSession, "numbered").save(df.orderBy(*keys).withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "sorted")
+    counts = sorted_.groupBy(part).agg(F.count("*").alias(n), F.min(at).alias(first))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    shifts = counts.select(part, first, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(shift))
+    out = sorted_.join(F.broadcast(shifts), part)
+    return out.select((F.col(at) - F.col(first) + F.col(shift) + 1).cast("long").alias(SYNTHETIC), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -75,10 +78,20 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str
     return every.select("_l.*", *[F.col(f"_m.{v}").alias(v if v not in left.columns else f"{v}_right") for v in values])
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Rows of `points` with the rows of `ranges` whose [low, high) holds `at`: an equi-join on cells of `width`, to which
-    each range is dealt, and a filter. `width` near the usual length of a range keeps both sides small."""
-    cell = lambda c: F.floor(c / F.lit(width)).cast("long")
-    p = points.withColumn("_cell", cell(F.col(at)))
-    r = ranges.filter(F.col(low) < F.col(high)).withColumn("_cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))))
-    return p.join(r, "_cell").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_cell")
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str) -> DataFrame:
+    """Rows of `points` with the rows of `ranges` whose [low, high) holds `at`: an equi-join on cells, and a filter.
+
+    A range lies in cells as wide as the next power of two over its length, so it needs two of them at most, however long
+    it is; a point is dealt to its cell of each width that occurs, and a double has no more than some 2,000 widths."""
+    level, cell = free_names(points.select("*", *[F.lit(0).alias(c) for c in ranges.columns]), 2)
+    lo, hi = F.col(f"`{low}`").cast("double"), F.col(f"`{high}`").cast("double")
+    floor = lambda v: v - F.pmod(v, F.lit(1.0))  # noqa: E731  exact, as widths are powers of two
+    place = lambda x, l: floor(x / F.pow(F.lit(2.0), l))
+    endless = (F.abs(lo) == float("inf")) | (F.abs(hi) == float("inf")) | (hi - lo == float("inf"))
+    r = ranges.filter(F.col(f"`{low}`") < F.col(f"`{high}`")).withColumn(level, F.when(endless, 1023.0).otherwise(F.greatest(F.ceil(F.log2(hi - lo)).cast("double"), F.lit(-1000.0))))
+    r = r.withColumn(cell, F.explode(F.when(F.col(level) == 1023.0, F.array(*map(F.lit, (-2.0, -1.0, 0.0, 1.0)))).otherwise(F.array_distinct(F.array(place(lo, F.col(level)), place(hi, F.col(level)))))))
+    levels = sorted(x[0] for x in r.select(level).distinct().collect())
+    x = F.col(f"`{at}`").cast("double")
+    p = points.withColumn(level, F.explode(F.array(*map(F.lit, levels)) if levels else F.expr("cast(array() as array<double>)")))
+    p = p.withColumn(cell, place(x, F.col(level)))
+    return p.join(r, [level, cell]).filter((F.col(f"`{at}`") >= F.col(f"`{low}`")) & (F.col(f"`{at}`") < F.col(f"`{high}`"))).drop(level, cell)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plainlake.functions.canon import NULL_MODES, encoded, natural_key, normal_type, normal_value
 from plainlake.operators import compare, infer, order
+from plainlake.plans.sql_runner import run_sql
 from plainlake.sources import ddl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +26,8 @@ PK = ["o_orderkey"]
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
-    return tuple(spark.sql(x) for x in (BASE_SQL, LEFT_SQL, RIGHT_SQL))
+    orders = {"orders": spark.read.parquet(f"{sf_dir}/orders.parquet")}
+    return tuple(run_sql(x, orders, spark) for x in (BASE_SQL, LEFT_SQL, RIGHT_SQL))
 
 
 def _table(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
@@ -130,8 +131,8 @@ def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
-    bands = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 5).alias("high"))
-    j = order.range_join(o, bands, "o_totalprice", "low", "high", 50.0)
+    bands = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_retailprice") * 100).alias("low"), (F.col("p_retailprice") * 100 + F.when(F.col("p_partkey") % 10 == 0, 40.0).otherwise(4.0)).alias("high"))
+    j = order.range_join(o, bands, "o_totalprice", "low", "high")
     return j.select("o_orderkey", "p_partkey")
 
 
@@ -219,7 +220,7 @@ ORACLES: dict[str, str] = {
     "infer_schema": "SELECT * FROM (VALUES ('nation', 'n_nationkey', 'INTEGER', false, true), ('nation', 'n_name', 'TEXT', false, false), ('nation', 'n_regionkey', 'INTEGER', false, false), ('region', 'r_regionkey', 'INTEGER', false, true), ('region', 'r_name', 'TEXT', false, false), ('customer', 'c_custkey', 'INTEGER', false, true), ('customer', 'c_name', 'TEXT', false, false), ('customer', 'c_nationkey', 'INTEGER', false, false), ('customer', 'c_acctbal', 'REAL', false, false), ('customer', 'c_mktsegment', 'TEXT', false, false)) v(table_name, column_name, kind, nullable, is_key)",
     "dependency_order": "SELECT * FROM (VALUES ('table', 'nation', CAST(0 AS BIGINT)), ('table', 'customer', 1), ('table', 'orders', 2), ('view', 'b', 3), ('view', 'a', 4)) v(kind, name, place)",
     "asof_join": "WITH v AS (SELECT user_id, ts AS seen, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY user_id, ts) SELECT e.event_id, v.view_id FROM (SELECT * FROM events WHERE event_type <> 'view') e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.seen",
-    "range_join": "SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice AND o_totalprice < p_retailprice + 5",
+    "range_join": "SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 100 AND o_totalprice < p_retailprice * 100 + CASE WHEN p_partkey % 10 = 0 THEN 40.0e0 ELSE 4.0e0 END",
     "session_windows": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, k.n",
     "tumbling_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -1,62 +1,60 @@
-"""Read-only SQL over a set of tables, with a short dialect shim."""
+"""Read-only SQL over a set of tables, in the analytic dialect of `dialect`."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from plainlake.plans.dialect import DialectError, parse, to_spark
+
 #: Plan nodes of statements that write or change something; they are refused wherever they stand.
 WRITES = ("Command", "InsertInto", "CreateTable", "CreateView", "CreateNamespace", "DropTable", "DropView", "ReplaceTable", "MergeInto", "DeleteFrom", "UpdateTable", "AlterTable", "TruncateTable", "SetCatalog", "UseNamespace", "CacheTable")
 
-#: Spellings of other engines, outside of quoted text, and how Spark says them.
-SHIM = [
-    (r"(?<!LEFT )\bSEMI\s+JOIN\b", "LEFT SEMI JOIN"),
-    (r"(?<!LEFT )\bANTI\s+JOIN\b", "LEFT ANTI JOIN"),
-    (r"\bstarts_with\s*\(", "startswith("),
-    (r"\bregexp_matches\s*\(", "rlike("),
-    (r"\bsha256\s*\(([^()]*)\)", r"sha2(\1, 256)"),
-    (r"\bVARCHAR\b(?!\s*\()", "STRING"),
-    (r"\s//\s", " div "),
-]
-
 
 class ReadOnlyError(ValueError):
     pass
 
 
-def split_quoted(text: str) -> list[str]:
-    """The text in parts; those at odd places are string literals, quoted names or comments."""
-    return re.split(r"""('(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`|--[^\n]*|/\*.*?\*/)""", text, flags=re.S)
-
-
-def to_spark(text: str) -> str:
-    parts = split_quoted(text)
-    for k in range(0, len(parts), 2):
-        for pattern, to in SHIM:
-            parts[k] = re.sub(pattern, to, parts[k], flags=re.I)
-    for k in range(1, len(parts), 2):
-        if parts[k].startswith('"'):
-            parts[k] = "`" + parts[k][1:-1].replace('""', '"').replace("`", "``") + "`"
-    return "".join(parts)
-
-
-def check_read_only(text: str, spark: SparkSession) -> None:
+def check_read_only(text: str, translated: str, spark: SparkSession) -> None:
     """Refuses all but one SELECT or WITH statement. The parsed plan is looked at too: a WITH may lead an INSERT."""
-    bare = "".join("" if p.startswith(("--", "/*")) else p for p in split_quoted(text)).strip()
-    if not re.match(r"(SELECT|WITH)\b", bare, re.I):
+    nodes = parse(text)
+    if not nodes or nodes[0].word not in ("SELECT", "WITH"):
         raise ReadOnlyError("only SELECT and WITH statements may run")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(translated)
     lines = [re.sub(r"^[\s:+\-']*", "", line) for line in plan.treeString().splitlines()]
     if bad := next((line for line in lines if line.startswith(WRITES)), None):
         raise ReadOnlyError(f"the statement would write: {bad.split()[0]}")
 
 
 def run_sql(text: str, tables: Mapping[str, DataFrame], spark: SparkSession) -> DataFrame:
-    """The rows of a read-only statement over `tables`, which become temporary views; none is read unless it is named."""
-    text = to_spark(text.strip().rstrip(";"))
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    check_read_only(text, spark)
-    return spark.sql(text)
+    """The rows of a read-only statement over `tables`; none is read unless it is named.
+
+    The tables are temporary views only while the statement is analysed: afterwards the session's views are as before, so
+    one set of tables never sees another's. Where a length is asked of a list, the text is read again with that meaning."""
+    text = text.strip().rstrip(";")
+    nodes = parse(text)
+    if not nodes or nodes[0].word not in ("SELECT", "WITH"):
+        raise ReadOnlyError("only SELECT and WITH statements may run")
+    translated = to_spark(text)
+    before = {n: spark.table(n) if spark.catalog.tableExists(n) else None for n in tables}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        check_read_only(text, translated, spark)
+        try:
+            return spark.sql(translated)
+        except AnalysisException:
+            if "CAST(length(" not in translated:
+                raise
+            return spark.sql(translated.replace("CAST(length(", "CAST(cardinality("))
+    finally:
+        for name, df in before.items():
+            spark.catalog.dropTempView(name)
+            if df is not None and not spark.catalog.tableExists(name):
+                df.createOrReplaceTempView(name)
+
+
+__all__ = ["DialectError", "ReadOnlyError", "check_read_only", "run_sql", "to_spark"]

@@ -1,12 +1,16 @@
-"""The Spark session that the engine expects."""
+"""The Spark session that the engine expects, and working tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
+import uuid
 import zipfile
+from itertools import count, islice
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,3 +40,50 @@ def ship(spark: SparkSession) -> None:
             z.write(f, Path("plainlake") / f.relative_to(root))
     sc.addPyFile(str(to))
     sc._plainlake_shipped = True
+
+
+SETTING = "spark.checkpoint.dir"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local master may fall back to a folder of its own."""
+    conf = spark.sparkContext.getConf()
+    if root := conf.get(SETTING):
+        return root
+    if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
+        raise ValueError(f"{SETTING} must name a shared folder on a cluster")
+    made = spark.conf.get("plainlake.local.root", None)
+    if not made:
+        made = "file://" + tempfile.mkdtemp(prefix="plainlake-")
+        spark.conf.set("plainlake.local.root", made)
+        spark.sparkContext.setCheckpointDir(made)
+    return made
+
+
+class Workspace:
+    """Parquet tables below the shared folder; they cut lineage, survive lost executors and go when the driver ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
+        self.spark = spark
+        self.path = f"{shared_root(spark)}/plainlake-{name}-{uuid.uuid4().hex}"
+        atexit.register(self.drop)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        try:
+            jvm, hadoop = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+            path = jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(hadoop).delete(path, True)
+        except Exception:  # noqa: BLE001  the JVM may have ended before Python
+            pass
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """`n` column names that `df` doesn't have, whatever its own are called."""
+    taken = {c.lower() for c in df.columns}
+    return list(islice((x for k in count() if (x := f"_pl{k}") not in taken), n))

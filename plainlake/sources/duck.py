@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plainlake.session import Workspace
 from plainlake.sources.ddl import Column, Schema, Table, create_table, quoted, table_order, view_order
 
 
@@ -29,11 +30,20 @@ def read_schema(path: str) -> Schema:
         con.close()
 
 
+def _local(url: str) -> Path:
+    parts = urlparse(url)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"{url}: DuckDB files need a shared folder with a path (file:)")
+    return Path(parts.path)
+
+
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """The engine writes the table as Parquet beside the other working files of this process, and Spark reads that."""
+    """The engine writes the table as Parquet into the shared folder, and Spark reads that. The file is opened on the driver,
+    so the shared folder must be one that the driver can write to by a path (file:)."""
     import duckdb
 
-    to = Path(tempfile.mkdtemp(prefix="plainlake-duck-")) / "t.parquet"
+    to = _local(Workspace(spark, "duck").path) / "t.parquet"
+    to.parent.mkdir(parents=True)
     con = duckdb.connect(path, read_only=True)
     try:
         con.execute(f"COPY (SELECT * FROM {quoted(table)}) TO '{to}' (FORMAT PARQUET)")
@@ -54,10 +64,11 @@ def write(path: str, schema: Schema, tables: dict[str, DataFrame]) -> None:
             ddl = create_table(Table(t, [Column(c.name, re.sub(r"^REAL$", "DOUBLE", c.kind, flags=re.I), c.notnull, c.default) for c in schema.tables[t].columns], schema.tables[t].pk))
             con.execute(ddl)
             if t in tables:
-                with tempfile.TemporaryDirectory(prefix="plainlake-duck-") as tmp:
-                    tables[t].write.mode("overwrite").parquet(f"file://{tmp}/t")
+                ws = Workspace(tables[t].sparkSession, "duck")
+                if ws.save(tables[t], "t").limit(1).count():
                     names = ", ".join(map(quoted, tables[t].columns))
-                    con.execute(f"INSERT INTO {quoted(t)} ({names}) SELECT {names} FROM read_parquet('{tmp}/t/*.parquet')")
+                    con.execute(f"INSERT INTO {quoted(t)} ({names}) SELECT {names} FROM read_parquet('{_local(ws.path)}/t/*.parquet')")
+                ws.drop()
         for v in view_order(schema.views):
             con.execute(schema.views[v])
     finally:

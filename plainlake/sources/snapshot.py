@@ -65,11 +65,8 @@ class Snapshot:
         from plainlake.plans.sql_runner import run_sql
 
         frames = dict(self.tables)
-        for name, df in frames.items():
-            df.createOrReplaceTempView(name)
         for v in ddl.view_order(self.schema.views):
-            frames[v] = run_sql(ddl.view_query(self.schema.views[v]), {}, self.spark)
-            frames[v].createOrReplaceTempView(v)
+            frames[v] = run_sql(ddl.view_query(self.schema.views[v]), frames, self.spark)
         return run_sql(text, frames, self.spark)
 
 
@@ -142,12 +139,10 @@ def from_frames(spark: SparkSession, frames: Mapping[str, DataFrame]) -> Snapsho
     return Snapshot(spark, Schema({t: from_frame(t, df) for t, df in frames.items()}), dict(frames))
 
 
-def _one_file(df: DataFrame, to: Path, kind: str, **options) -> None:
-    """One sorted file at `to`; the rows are already in order, and one task merges them."""
-    with tempfile.TemporaryDirectory(prefix="plainlake-write-", dir=to.parent) as tmp:
-        df.coalesce(1).write.mode("overwrite").format(kind).options(**options).save(f"file://{tmp}/out")
-        part = next(x for x in Path(tmp, "out").iterdir() if x.name.startswith("part-"))
-        shutil.move(part, to)
+def _sorted_parts(df: DataFrame, tmp: str, kind: str, **options) -> list[Path]:
+    """The files of rows that are in order, in that order: every task sorts and writes its own range."""
+    df.write.mode("overwrite").format(kind).options(**options).save(f"file://{tmp}/out")
+    return sorted(x for x in Path(tmp, "out").iterdir() if x.name.startswith("part-"))
 
 
 def in_order(s: Snapshot, t: str, given: settings.Settings) -> DataFrame:
@@ -162,11 +157,34 @@ def in_order(s: Snapshot, t: str, given: settings.Settings) -> DataFrame:
 def write_csv(df: DataFrame, to: Path, null_mode: str = "marker", compressed: bool = False) -> None:
     """UTF-8, commas, every field quoted, "" for a quote, line feeds, a header: the same rows give the same bytes."""
     out = df.select(*[encoded(F.col(f"`{f.name}`"), f.dataType, null_mode).alias(f.name) for f in df.schema])
-    _one_file(out, to, "csv", header=True, quoteAll=True, escape='"', nullValue=NULL_MARK, emptyValue="", lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    if compressed:
-        with open(to, "rb") as f, open(f"{to}.gz", "wb") as g, gzip.GzipFile("", "wb", fileobj=g, mtime=0) as z:
-            shutil.copyfileobj(f, z)
-        to.unlink()
+    header = ",".join('"' + c.replace('"', '""') + '"' for c in out.columns) + "\n"
+    target = f"{to}.gz" if compressed else to
+    with tempfile.TemporaryDirectory(prefix="plainlake-write-", dir=to.parent) as tmp:
+        parts = _sorted_parts(out, tmp, "csv", header=False, quoteAll=True, escape='"', nullValue=NULL_MARK, emptyValue="", lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        with open(target, "wb") as raw, gzip.GzipFile("", "wb", fileobj=raw, mtime=0) if compressed else raw as f:
+            f.write(header.encode())
+            for part in parts:  # bytes only: the rows were sorted and written in parallel
+                with open(part, "rb") as p:
+                    shutil.copyfileobj(p, f, 1 << 20)
+
+
+def write_parquet(df: DataFrame, to: Path) -> None:
+    """One sorted file: the tasks' row groups in order."""
+    import pyarrow.parquet as pq
+
+    with tempfile.TemporaryDirectory(prefix="plainlake-write-", dir=to.parent) as tmp:
+        parts = _sorted_parts(df, tmp, "parquet", compression="snappy")
+        if len(parts) == 1:
+            shutil.move(parts[0], to)
+            return
+        writer = None
+        for part in parts:
+            f = pq.ParquetFile(part)
+            writer = writer or pq.ParquetWriter(to, f.schema_arrow, compression="snappy")
+            for k in range(f.num_row_groups):
+                writer.write_table(f.read_row_group(k))
+        if writer:
+            writer.close()
 
 
 def _swap(build, to: Path, force: bool) -> None:
@@ -244,7 +262,7 @@ def to_parquet(s: Snapshot, to: str | Path, given: settings.Settings | None = No
         new.mkdir()
         (new / "schema.sql").write_text(_declared(s, names, given).text())
         for t in names:
-            _one_file(in_order(s, t, given), new / f"{t}.parquet", "parquet", compression="snappy")
+            write_parquet(in_order(s, t, given), new / f"{t}.parquet")
         (new / settings.FILE).write_text(given.text())
 
     _swap(build, Path(to), force)
