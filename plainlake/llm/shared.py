@@ -1,56 +1,11 @@
-"""What the corpus operators share: working tables in the shared folder, row keys, connected components."""
+"""What the corpus operators share: row keys, bounded sets, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from itertools import count, islice
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plainlake.session import ship
-
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local master may fall back to a folder of its own."""
-    conf = spark.sparkContext.getConf()
-    if root := conf.get(SETTING):
-        return root
-    if not conf.get("spark.master", "").startswith("local["):
-        raise ValueError(f"{SETTING} must name a shared folder on a cluster")
-    made = spark.conf.get("plainlake.local.root", None)
-    if not made:
-        made = "file://" + tempfile.mkdtemp(prefix="plainlake-")
-        spark.conf.set("plainlake.local.root", made)
-        spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-class Workspace:
-    """Parquet tables below the shared folder; they cut lineage, survive lost executors and go when the driver ends."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
-        self.spark = spark
-        self.path = f"{shared_root(spark)}/plainlake-{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        try:
-            jvm, hadoop = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-            path = jvm.org.apache.hadoop.fs.Path(self.path)
-            path.getFileSystem(hadoop).delete(path, True)
-        except Exception:  # noqa: BLE001  the JVM may have ended before Python
-            pass
+from plainlake.session import Workspace, free_names
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,12 +17,6 @@ def row_key(*cols: str) -> list[Column]:
     return [F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit(7), *cols).alias("_k2")]
 
 
-def free_names(df: DataFrame, n: int) -> list[str]:
-    """`n` column names that `df` doesn't have, whatever its own are called."""
-    taken = {c.lower() for c in df.columns}
-    return list(islice((x for k in count() if (x := f"_pl{k}") not in taken), n))
-
-
 def ascii_space_trim(c: Column) -> Column:
     return F.trim(c, F.lit(" \t\n\x0b\x0c\r"))
 
@@ -129,3 +78,6 @@ def rough_split(rows: DataFrame, column: str, known: DataFrame, bits: int = 1 <<
     marked = rows.withColumn(word, F.floor(at / 64).cast("int")).join(F.broadcast(known.withColumnsRenamed({"_word": word, "_mask": mask})), word, "left")
     hit = F.coalesce(F.getbit(F.col(mask), (at % 64).cast("int")) == 1, F.lit(False))
     return marked.filter(hit).drop(word, mask), marked.filter(~hit).drop(word, mask)
+
+
+__all__ = ["Workspace", "ascii_lower", "ascii_space_trim", "components", "free_names", "read", "rough_set", "rough_split", "row_key"]
