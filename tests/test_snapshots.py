@@ -64,6 +64,32 @@ def test_views_and_sql(spark, database):
             run_sql(bad, {}, spark)
         assert isinstance(e.value, ReadOnlyError) or "INSERT" in bad
     assert to_spark("SELECT \"a b\", 'SEMI JOIN' FROM t SEMI JOIN u USING (k)") == "SELECT `a b`, 'SEMI JOIN' FROM t LEFT SEMI JOIN u USING (k)"
+    assert not spark.catalog.tableExists("users") and not spark.catalog.tableExists("big")  # no view stays
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        run_sql("SELECT * FROM users", {}, spark)
+
+
+SPELLINGS = {
+    "SELECT regexp_replace('aba', 'a', 'b') AS x": "bba",
+    "SELECT regexp_replace('a1b2', '([a-z])([0-9])', '\\2\\1') AS x": "1ab2",
+    "SELECT sha256(concat('a', 'b')) AS x": "fb8e20fc2e4c3f248c60c39bd652f3c1347298bb977b8b4d5903b85055620603",
+    "SELECT 7//2 AS x": 3, "SELECT CAST(2.7e0 AS INTEGER) AS x": 3, "SELECT 2.5e0::INT AS x": 2, "SELECT CAST(2.5 AS INT) AS x": 3, "SELECT try_cast('x' AS INTEGER) AS x": None,
+    "SELECT 1 / 0 AS x": float("inf"), "SELECT -1 / 0.0e0 AS x": float("-inf"), "SELECT 7 / 2 AS x": 3.5, "SELECT 2 ** 3 ^ 2 AS x": 64.0,
+    "SELECT list_transform([1, 2], lambda x: x * 10)[2] AS x": 20, "SELECT [1, 2, 3][2:3][1] AS x": 2, "SELECT len('abc') AS x": 3, "SELECT len([1, 2]) AS x": 2, "SELECT [1][5] AS x": None,
+    "SELECT strftime(TIMESTAMP '2024-01-02 03:04:05', '%Y-%m-%d, %H h') AS x": "2024-01-02, 03 h", "SELECT date_diff('hour', TIMESTAMP '2024-01-01 00:59:00', TIMESTAMP '2024-01-01 01:00:00') AS x": 1,
+    "SELECT 'it''s \\d' AS x": "it's \\d", "SELECT string_agg(a, '+' ORDER BY a DESC) AS x FROM (VALUES ('p'), ('q'), (NULL)) t(a)": "q+p", "SELECT list(a ORDER BY a)[1] AS x FROM (VALUES (3), (1)) t(a)": 1,
+    "SELECT max(range) AS x FROM range(5)": 4, "SELECT sum(generate_series) AS x FROM generate_series(1, 3)": 6, "SELECT x FROM (SELECT unnest([4]) AS x)": 4, "SELECT a AS x FROM (VALUES (1), (3), (2)) t(a) QUALIFY rank() OVER (ORDER BY a DESC) = 1": 3,
+    "SELECT a AS x FROM (VALUES (NULL), (2)) t(a) ORDER BY a LIMIT 1": 2, "SELECT a AS x FROM (VALUES (NULL), (2)) t(a) ORDER BY a DESC LIMIT 1": 2, "SELECT a AS x FROM (VALUES (NULL), (2)) t(a) ORDER BY a NULLS FIRST LIMIT 1": None,
+    "SELECT round(skewness(a), 4) AS x FROM (VALUES (1), (2), (9)) t(a)": 1.6301, "SELECT CASE WHEN 3 / 2 > 1 THEN 'a' ELSE 'b' END AS x": "a", "SELECT (SELECT 5) / 2 AS x": 2.5, "SELECT 1 - 6 / 4 AS x": -0.5,
+}
+
+
+@pytest.mark.parametrize("text", SPELLINGS)
+def test_spellings(spark, text):
+    """The other engine says the same of the same text."""
+    duckdb = pytest.importorskip("duckdb")
+    got = run_sql(text, {}, spark).first()[0]
+    assert got == SPELLINGS[text] and duckdb.sql(text).fetchall()[0][0] == SPELLINGS[text]
 
 
 def test_incremental(spark, database, tmp_path):
