@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plainlake import __version__
 from plainlake.operators import compare
@@ -32,6 +33,43 @@ def to_pandas(path: str | Path, table: str, spark: SparkSession | None = None):
     return load(path, spark)[table].toPandas()
 
 
+def sql_arrow(text: str, path: str | Path, spark: SparkSession | None = None):
+    return sql(text, path, spark).toArrow()
+
+
+def sql_pandas(text: str, path: str | Path, spark: SparkSession | None = None):
+    return sql(text, path, spark).toPandas()
+
+
+def _polars(table):
+    import polars  # an optional package
+
+    return polars.from_arrow(table)
+
+
+def to_polars(path: str | Path, table: str, spark: SparkSession | None = None):
+    return _polars(to_arrow(path, table, spark))
+
+
+def sql_polars(text: str, path: str | Path, spark: SparkSession | None = None):
+    return _polars(sql_arrow(text, path, spark))
+
+
+def diff_detail(left: str | Path, right: str | Path, spark: SparkSession | None = None, summary: bool = False, tables: Sequence[str] = (), exclude: Sequence[str] = ()) -> dict:
+    """The diff as plain values: left, right, identical, and of each table its name, the numbers of added, deleted and
+    modified rows, and unless `summary` the rows themselves. The rows come to the driver: for large diffs take diff()."""
+    out = []
+    for name, df in diff(left, right, spark, tables, exclude).items():
+        if "surplus" in df.columns:
+            kind = F.when(F.col("surplus") > 0, "added").otherwise("deleted")
+            df = df.withColumn("kind", kind)
+            counts = {r["kind"]: r["n"] for r in df.groupBy("kind").agg(F.sum(F.abs("surplus")).alias("n")).collect()}
+        else:
+            counts = {r["kind"]: r["n"] for r in df.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        out.append({"name": name, **{k: counts.get(k, 0) for k in ("added", "deleted", "modified")}} | ({} if summary else {"rows": [r.asDict(recursive=True) for r in df.collect()]}))
+    return {"left": str(left), "right": str(right), "identical": not any(t[k] for t in out for k in ("added", "deleted", "modified")), "tables": out}
+
+
 def _source(source: str | Path | Mapping[str, DataFrame], spark: SparkSession | None) -> snapshot.Snapshot:
     return snapshot.from_frames(spark or session(), source) if isinstance(source, Mapping) else load(source, spark)
 
@@ -118,4 +156,4 @@ def version() -> str:
     return __version__
 
 
-__all__ = ["Report", "checksum", "diff", "init", "load", "merge", "sql", "to_arrow", "to_csv", "to_duckdb", "to_pandas", "to_parquet", "to_sqlite", "validate", "version"]
+__all__ = ["Report", "checksum", "diff", "diff_detail", "init", "load", "merge", "sql", "sql_arrow", "sql_pandas", "sql_polars", "to_arrow", "to_csv", "to_duckdb", "to_pandas", "to_parquet", "to_polars", "to_sqlite", "validate", "version"]

@@ -66,9 +66,13 @@ def spark_type(declared: str) -> T.DataType:
 def double_text(c: Column) -> Column:
     """The shortest decimal of a double, never with an exponent, and without a fraction if it is whole."""
     short = c.cast("string")  # d.ddd, or d.dddEx for what is very small or large
-    size = F.replace(short, F.lit("-"), F.lit(""))
-    exponent = F.when(short.contains("E"), F.substring_index(short, "E", -1)).otherwise("0").cast("int")
-    digits = F.rtrim(F.replace(F.substring_index(F.replace(size, F.lit("E-"), F.lit("E")), "E", 1), F.lit("."), F.lit("")), F.lit("0"))
+    # Java's text may have a digit or more than it needs; 15 or 16 digits do if they are the same number.
+    few, more = F.format_string("%.14E", c), F.format_string("%.15E", c)
+    long = (F.length(F.regexp_replace(short, "E.*|[^0-9]", "")) >= 16) & (more.cast("double") == c)
+    source = F.when(long & (few.cast("double") == c), few).when(long, more).otherwise(short)
+    scientific = long | short.contains("E")
+    exponent = F.when(scientific, F.substring_index(source, "E", -1)).otherwise("0").cast("int")
+    digits = F.rtrim(F.translate(F.substring_index(source, "E", 1), "-.", ""), F.lit("0"))
     n = F.length(digits)
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
     large = F.concat(digits, F.repeat(F.lit("0"), exponent - n + 1))
@@ -77,7 +81,7 @@ def double_text(c: Column) -> Column:
     sign = F.when(short.startswith("-"), "-").otherwise("")
     whole = F.when(short.endswith(".0"), F.substr(short, F.lit(1), F.length(short) - 2)).otherwise(short)
     special = F.when(F.isnan(c), "NaN").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
-    return F.when(c.isNull(), None).when(special.isNotNull(), special).when(short.contains("E"), F.concat(sign, plain)).otherwise(whole)
+    return F.when(c.isNull(), None).when(special.isNotNull(), special).when(scientific, F.concat(sign, plain)).otherwise(whole)
 
 
 def text(c: Column, kind: T.DataType) -> Column:

@@ -85,13 +85,13 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     it is; a point is dealt to its cell of each width that occurs, and a double has no more than some 2,000 widths."""
     level, cell = free_names(points.select("*", *[F.lit(0).alias(c) for c in ranges.columns]), 2)
     lo, hi = F.col(f"`{low}`").cast("double"), F.col(f"`{high}`").cast("double")
-    floor = lambda v: v - F.pmod(v, F.lit(1.0))  # noqa: E731  exact, as widths are powers of two
-    place = lambda x, l: floor(x / F.pow(F.lit(2.0), l))
+    whole = lambda v: F.when(F.abs(v) < 4e18, F.floor(v).cast("double")).otherwise(v)
+    place = lambda x, l: whole(x / F.pow(F.lit(2.0), l))  # noqa: E731  exact, as widths are powers of two
     endless = (F.abs(lo) == float("inf")) | (F.abs(hi) == float("inf")) | (hi - lo == float("inf"))
     r = ranges.filter(F.col(f"`{low}`") < F.col(f"`{high}`")).withColumn(level, F.when(endless, 1023.0).otherwise(F.greatest(F.ceil(F.log2(hi - lo)).cast("double"), F.lit(-1000.0))))
     r = r.withColumn(cell, F.explode(F.when(F.col(level) == 1023.0, F.array(*map(F.lit, (-2.0, -1.0, 0.0, 1.0)))).otherwise(F.array_distinct(F.array(place(lo, F.col(level)), place(hi, F.col(level)))))))
     levels = sorted(x[0] for x in r.select(level).distinct().collect())
     x = F.col(f"`{at}`").cast("double")
     p = points.withColumn(level, F.explode(F.array(*map(F.lit, levels)) if levels else F.expr("cast(array() as array<double>)")))
-    p = p.withColumn(cell, place(x, F.col(level)))
+    p = p.withColumn(cell, F.when((x == float("-inf")) & (F.col(level) == 1023.0), -2.0).otherwise(place(x, F.col(level))))
     return p.join(r, [level, cell]).filter((F.col(f"`{at}`") >= F.col(f"`{low}`")) & (F.col(f"`{at}`") < F.col(f"`{high}`"))).drop(level, cell)

@@ -30,7 +30,7 @@ def read_schema(path: str) -> Schema:
         con.close()
 
 
-def _local(url: str) -> Path:
+def local_path(url: str) -> Path:
     parts = urlparse(url)
     if parts.scheme not in ("", "file"):
         raise ValueError(f"{url}: DuckDB files need a shared folder with a path (file:)")
@@ -42,7 +42,7 @@ def read(spark: SparkSession, path: str, table: str) -> DataFrame:
     so the shared folder must be one that the driver can write to by a path (file:)."""
     import duckdb
 
-    to = _local(Workspace(spark, "duck").path) / "t.parquet"
+    to = local_path(Workspace(spark, "duck").path) / "t.parquet"
     to.parent.mkdir(parents=True)
     con = duckdb.connect(path, read_only=True)
     try:
@@ -67,7 +67,7 @@ def write(path: str, schema: Schema, tables: dict[str, DataFrame]) -> None:
                 ws = Workspace(tables[t].sparkSession, "duck")
                 if ws.save(tables[t], "t").limit(1).count():
                     names = ", ".join(map(quoted, tables[t].columns))
-                    con.execute(f"INSERT INTO {quoted(t)} ({names}) SELECT {names} FROM read_parquet('{_local(ws.path)}/t/*.parquet')")
+                    con.execute(f"INSERT INTO {quoted(t)} ({names}) SELECT {names} FROM read_parquet('{local_path(ws.path)}/t/*.parquet')")
                 ws.drop()
         for v in view_order(schema.views):
             con.execute(schema.views[v])

@@ -12,21 +12,26 @@ SCRIPTS = {
 }
 
 
-def _folder(repo: str | Path) -> Path:
-    git = Path(repo) / ".git"
-    if not git.is_dir():
-        raise ValueError(f"{repo} is no git repository")
-    (git / "hooks").mkdir(exist_ok=True)
-    return git / "hooks"
+def _folder(start: str | Path) -> Path:
+    """The hooks of the repository that holds `start`; a worktree has a file that names its git folder."""
+    here = Path(start).resolve()
+    for p in (here, *here.parents):
+        git = p / ".git"
+        if git.is_file() and git.read_text().startswith("gitdir:"):
+            git = p / git.read_text().partition(":")[2].strip()
+        if git.is_dir():
+            (git / "hooks").mkdir(exist_ok=True)
+            return git / "hooks"
+    raise ValueError(f"{start} is in no git repository")
 
 
 def install(repo: str | Path = ".", force: bool = False) -> list[str]:
-    """Writes the hooks; a hook of another origin stays unless `force`."""
+    """Writes the hooks and gives their names; a hook of another origin is left out unless `force`."""
     out = []
     for name, body in SCRIPTS.items():
         f = _folder(repo) / name
         if f.exists() and MARK not in f.read_text() and not force:
-            raise FileExistsError(f"{f} exists")
+            continue
         f.write_text(f"#!/bin/sh\n{MARK}\n{body}")
         f.chmod(f.stat().st_mode | stat.S_IXUSR | stat.S_IXGRP | stat.S_IXOTH)
         out.append(name)

@@ -236,9 +236,10 @@ def test_hooks(tmp_path):
     (tmp_path / ".git").mkdir()
     assert hooks.install(tmp_path) == ["pre-commit", "post-merge"]
     (tmp_path / ".git" / "hooks" / "pre-commit").write_text("mine")
-    with pytest.raises(FileExistsError):
-        hooks.install(tmp_path)
+    assert hooks.install(tmp_path) == ["post-merge"]  # one of another origin is left alone
     assert hooks.uninstall(tmp_path) == ["post-merge"]
+    with pytest.raises(ValueError):
+        hooks.install("/")
 
 
 def test_watch(tmp_path):
@@ -271,3 +272,67 @@ def test_stream_windows(spark, tmp_path):
     got = {(r["start"], r["event_type"]): r["n"] for r in spark.table("w").collect()}
     want = {(r["start"], r["event_type"]): r["n"] for r in windowed(df, "1 day").collect()}
     assert got and all(want[k] == v for k, v in got.items())
+
+
+def test_doubles_survive_their_text(spark):
+    """Shortest, without an exponent, and the same number again."""
+    from pyspark.sql import functions as F
+
+    from plainlake.functions.canon import double_text
+
+    from decimal import Decimal
+
+    odd = [1e-38, 1e38, -1.5e20, 1.2345678901234567e-05, 9.007199254740992e15, 0.1, 100.5, 2.0**-44, 1e23, 1.23e22, 2e-3, 0.30000000000000004]
+    plain = [format(Decimal(repr(x)), "f").removesuffix(".0") for x in odd] + ["0", "-0", "100", "NaN", "inf", "-inf"]
+    odd += [0.0, -0.0, 100.0, float("nan"), float("inf"), float("-inf")]
+    more = [k * 10.0**e for k in (1.7976931348623157, 3.3333333333333335, 2.2250738585072014, -7.123) for e in range(-30, 30)]
+    rows = spark.createDataFrame([(float(x),) for x in [*odd, *more]], "x double").select("x", double_text(F.col("x")).alias("t")).collect()
+    for r in rows:
+        assert "E" not in r["t"] and (float(r["t"]) == r["x"] or r["x"] != r["x"])
+    assert [r["t"] for r in rows[: len(odd)]] == plain
+
+
+def test_widths_of_ranges(spark):
+    """Ranges of any length, endless ones too, against all pairs."""
+    from plainlake.operators.order import range_join
+
+    inf = float("inf")
+    ends = [(0.0, 1e12), (5.0, 5.5), (-3.0, 2.0), (1e-9, 2e-9), (-inf, 0.0), (7.0, inf), (4.0, 4.0), (9.0, 1.0), (-1e300, 1e300), (1024.0, 2048.0)]
+    at = [-inf, -1e308, -2.5, 0.0, 1.5e-9, 1.0, 2.0, 5.25, 5.5, 1023.9, 1024.0, 2048.0, 1e11, 1e12, 1e308, None]
+    r = spark.createDataFrame([(i, *e) for i, e in enumerate(ends)], "r int, low double, high double")
+    p = spark.createDataFrame([(i, x) for i, x in enumerate(at)], "p int, _cell double")
+    got = sorted((x["p"], x["r"]) for x in range_join(p, r, "_cell", "low", "high").collect())
+    assert got == sorted((i, j) for i, x in enumerate(at) for j, (a, b) in enumerate(ends) if x is not None and a <= x < b)
+
+
+def test_columns_of_any_name_stay(spark):
+    from plainlake.operators.order import SYNTHETIC, with_synthetic_key
+
+    names = ["_p", "_m", "_n", "_first", "_s", "_pl0", "_pl1"]
+    df = spark.createDataFrame([(i % 3, *range(i, i + len(names))) for i in range(20)], ["k", *names])
+    rows = with_synthetic_key(df, ["k", "_p"]).collect()
+    assert sorted(r[SYNTHETIC] for r in rows) == list(range(1, 21)) and all([r[n] for n in names] == list(range(r["_p"], r["_p"] + len(names))) for r in rows)
+
+
+def test_fingerprints_of_values(spark):
+    from plainlake.operators.compare import fingerprint
+
+    of = lambda rows, kind: fingerprint(spark.createDataFrame(rows, kind)).first()["digest"]
+    base = of([(1, 2.0, "a", None), (2, 0.1, None, "b")], "a long, b double, c string, d string")
+    assert of([(2, 0.1 + 1e-13, None, "b"), (1, 2.0, "a", None)], "a int, b double, c string, d string") == base
+    for other in ([(1, 2.0, None, "a"), (2, 0.1, None, "b")], [(1, 2.0, "a", None)], [(1, 2.0, "a", None), (2, 0.11, None, "b")], [(1, 2.0, "a", None), (2, 0.1, None, "b"), (2, 0.1, None, "b")], []):
+        assert of(other, "a long, b double, c string, d string") != base
+    assert of([(2,)], "a int") == of([(2.0,)], "a double") != of([("2",)], "a string")
+
+
+def test_more_verbs(spark, database, tmp_path):
+    assert api.sql_arrow("SELECT id FROM users ORDER BY id", database, spark).column("id").to_pylist() == [1, 2, 10]
+    assert list(api.sql_pandas("SELECT id FROM users ORDER BY id", database, spark)["id"]) == [1, 2, 10]
+    same = api.diff_detail(database, database, spark)
+    assert same["identical"] and {t["name"] for t in same["tables"]} == {"users", "orders"}
+    api.to_csv(database, tmp_path / "d.tables", spark)
+    con = sqlite3.connect(database)
+    con.execute("DELETE FROM users WHERE id = 10")
+    con.commit()
+    found = api.diff_detail(tmp_path / "d.tables", database, spark, tables=["users"])
+    assert not found["identical"] and found["tables"][0]["deleted"] == 1 and found["tables"][0]["rows"][0]["kind"] == "deleted"
