@@ -177,3 +177,25 @@ def test_pipeline(spark):
             assert set(after) == {i for i, x in brute.near(before)[0].items() if x[2]}
     out = corpus_pipeline.encoding(spark, corpus_pipeline.mixing(spark, now, sf), sf)
     assert out.filter("not exact").count() == 0 and out.count() > 0
+
+
+def test_stages_take_odd_tables(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    shape = docs.schema
+    base = docs.filter("lang = 'en'").orderBy("doc_id").first()
+    near = base["text"] + " and a few words more"
+    odd = [(None, None, None, None, None), (900001, None, "en", "src0", None), (900002, "", None, "src0", 0), (None, near, "en", None, 5), (base["doc_id"], near, "en", "src0", 5), (900003, "12 !? ", "en", "src0", 6), (900004, "word " * 300_000, "en", "src0", 7)]
+    rows = [tuple(base), tuple(base), *odd]
+    order = [f.name for f in shape]
+    assert order == ["doc_id", "text", "lang", "source", "n_chars"]
+    table = spark.createDataFrame(rows, shape).unionByName(docs.limit(30))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        assert stage(spark, table, sf).count() > 0, name
+    left = corpus_pipeline.near(spark, spark.createDataFrame(rows, shape), sf).collect()
+    got = sorted((r["doc_id"] or -1, len(r["text"] or "")) for r in left)
+    assert [x for x in got if x[0] != base["doc_id"]] == [(-1, 0), (900001, 0), (900002, 0), (900003, 6), (900004, 1_500_000)]
+    assert [x[1] in (len(base["text"]), len(near)) for x in got if x[0] == base["doc_id"]] == [True]
