@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plainlake.functions.canon import NULL_MARK, encoded, normal_number, normal_type, normal_value
+from plainlake.session import ship
 
 ROWID = r"__\w+_rowid"  # synthetic key columns take no part in comparisons
 
@@ -186,13 +187,28 @@ def change_status(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame]) ->
     return out
 
 
+def _run_together(batches):
+    """One value a batch: the bytes of its texts one after the other, as Arrow holds them."""
+    import pyarrow as pa
+
+    for batch in batches:
+        texts = batch.column(0)
+        if len(texts):
+            wide = pa.types.is_large_string(texts.type)
+            _, offsets, data = texts.buffers()
+            at = memoryview(offsets).cast("q" if wide else "i")
+            yield pa.RecordBatch.from_arrays([pa.array([data[at[texts.offset] : at[texts.offset + len(texts)]].to_pybytes()], pa.binary())], names=["rows"])
+
+
 def checksum(tables: Mapping[str, DataFrame], declared: Mapping[str, Sequence[tuple[str, str]]], pks: Mapping[str, Sequence[str]], views: Sequence[str] = ()) -> str:
     """SHA-256 of schema, rows and view names by the sequential protocol of the directory format. Every table is taken in
-    the order of its key's texts, or of all columns without a key. The hash is sequential, so the sorted rows stream
-    through the driver, one partition at a time; `fingerprint` is the parallel way to detect changes."""
+    the order of its key's texts, or of all columns without a key. The hash is sequential, so the bytes of the sorted rows
+    stream through the driver, one partition at a time and a batch as one value; `fingerprint` is the parallel way to detect changes."""
     import re
 
     h = hashlib.sha256()
+    for df in tables.values():
+        ship(df.sparkSession)
     for t in sorted(tables):
         df, own = tables[t], [(c, k) for c, k in declared[t] if not re.fullmatch(ROWID, c)]
         h.update(f"TABLE:{t}\0".encode() + b"".join(f"COL:{c}:{normal_type(k)}\0".encode() for c, k in own))
@@ -201,9 +217,9 @@ def checksum(tables: Mapping[str, DataFrame], declared: Mapping[str, Sequence[tu
         h.update(f"\1DATA:{t}\0".encode())
         c = canonical(df, [n for n, _ in own])
         c = c.orderBy(*[F.col(f"`{n}`") for n in (pk or c.columns)], *[F.col(f"`{n}`") for n in c.columns if n not in pk])
-        line = F.concat(*[x for n in c.columns for x in (normal_value(F.col(f"`{n}`")), F.lit("\0"))], F.lit("\1"))
-        for (row,) in c.select(line).toLocalIterator(prefetchPartitions=True):
-            h.update(row.encode())
+        line = F.concat(*[x for n in c.columns for x in (normal_value(F.col(f"`{n}`")), F.lit("\0"))], F.lit("\1")).alias("line")
+        for (rows,) in c.select(line).mapInArrow(_run_together, "rows binary").toLocalIterator(prefetchPartitions=True):
+            h.update(rows)
         h.update(b"\2")
     h.update(b"".join(f"VIEW:{v}\0".encode() for v in sorted(views)) + b"\3")
     return h.hexdigest()
