@@ -84,7 +84,11 @@ def to_csv(source: str | Path | Mapping[str, DataFrame], to: str | Path, spark:
 
 
 def to_parquet(source, to: str | Path, spark: SparkSession | None = None, force: bool = False, **given):
-    return snapshot.to_parquet(_source(source, spark), to, resolve(Path(source) if isinstance(source, (str, Path)) else None, **given), force)
+    """One sorted file a table below a path; a URL takes a folder of files a table, written in parallel."""
+    settled = resolve(Path(source) if isinstance(source, (str, Path)) else None, **given)
+    if "://" in str(to):
+        return snapshot.to_parquet_url(_source(source, spark), str(to), settled)
+    return snapshot.to_parquet(_source(source, spark), to, settled, force)
 
 
 def to_sqlite(source, to: str | Path, spark: SparkSession | None = None, force: bool = False) -> None:

@@ -74,11 +74,11 @@ def data_file(directory: Path, table: str) -> Path | None:
     return next((p for p in (directory / f"{table}.csv", directory / f"{table}.csv.gz") if p.exists()), None)
 
 
-def read_csv(spark: SparkSession, path: Path, columns: Sequence[str]) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Path, columns: Sequence[str]) -> DataFrame:
     """A headered, quoted CSV file as text; rows that are too short or too long, and another header, are errors. Only the
     mark is NULL: an empty field, quoted or not, is empty text."""
     kind = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.schema(kind).csv(f"file://{path.resolve()}", header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", enforceSchema=False, nullValue="\x01", emptyValue="")
+    df = spark.read.schema(kind).csv(f"file://{path.resolve()}" if isinstance(path, Path) else path, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", enforceSchema=False, nullValue="\x01", emptyValue="")
     return df.select(*[F.nullif(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(NULL_MARK)).alias(c) for c in columns])
 
 
@@ -97,8 +97,52 @@ def typed(df: DataFrame, table: Table) -> DataFrame:
     return df.select(*out)
 
 
+def _listed(spark: SparkSession, url: str) -> dict[str, str]:
+    """{name: URL} of what lies in a folder of any store that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(url)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {s.getPath().getName(): s.getPath().toString() for s in fs.listStatus(folder)}
+
+
+def load_url(spark: SparkSession, url: str, tables: Sequence[str] = (), exclude: Sequence[str] = (), raw: bool = False) -> Snapshot:
+    """The tables of a directory in a store that only Spark reads: Parquet files or folders of them, or CSV files."""
+    there = _listed(spark, url)
+    chosen = settings.Settings(tables=list(tables), exclude=list(exclude)).chosen
+    text = spark.read.text(there["schema.sql"], wholetext=True).first()[0] if "schema.sql" in there else None
+    schema, found = ddl.parse(text) if text else Schema(), {}
+    parquet = {n.removesuffix(".parquet"): x for n, x in there.items() if n.endswith(".parquet")}
+    if not parquet and not text:
+        raise FormatError(f"{url} has no schema.sql and no Parquet")
+    for t in chosen(sorted(parquet) if parquet else schema.tables):
+        if parquet:
+            found[t] = spark.read.parquet(parquet[t])
+            schema.tables.setdefault(t, from_frame(t, found[t]))
+        elif f := there.get(f"{t}.csv", there.get(f"{t}.csv.gz")):
+            df = read_csv(spark, f, [c.name for c in schema.tables[t].columns])
+            found[t] = df if raw else typed(df, schema.tables[t])
+    return Snapshot(spark, schema, found)
+
+
+def to_parquet_url(s: Snapshot, url: str, given: settings.Settings | None = None) -> list[str]:
+    """schema.sql and one folder of Parquet files a table, in any store that Spark writes and at any size: every task sorts
+    and writes its own range of the order, and nothing passes through the driver or one task."""
+    given = given or settings.Settings()
+    names = given.chosen(s.tables)
+    for t in names:
+        in_order(s, t, given).write.mode("error").parquet(f"{url}/{t}.parquet")
+    folder = s.spark._jvm.org.apache.hadoop.fs.Path(url)
+    out = folder.getFileSystem(s.spark.sparkContext._jsc.hadoopConfiguration()).create(s.spark._jvm.org.apache.hadoop.fs.Path(f"{url}/schema.sql"), True)
+    try:
+        out.write(_declared(s, names, given).text().encode())
+    finally:
+        out.close()
+    return names
+
+
 def load(spark: SparkSession, path: str | Path, tables: Sequence[str] = (), exclude: Sequence[str] = (), raw: bool = False) -> Snapshot:
     """The tables at `path` as lazy DataFrames; nothing is read but schemas. `raw` leaves CSV cells as text."""
+    if "://" in str(path):
+        return load_url(spark, str(path), tables, exclude, raw)
     p, kind = Path(path), detect(path)
     chosen = settings.Settings(tables=list(tables), exclude=list(exclude)).chosen
     if kind == "csv":
@@ -238,9 +282,11 @@ def to_csv_incremental(s: Snapshot, to: str | Path, given: settings.Settings | N
         there = data_file(to, t)
         out[t] = "unchanged" if before.get(t) == now[t] and there else "updated" if t in before else "added"
         if out[t] != "unchanged":
-            for f in (to / f"{t}.csv", to / f"{t}.csv.gz"):
-                f.unlink(missing_ok=True)
-            write_csv(in_order(s, t, given), to / f"{t}.csv", given.null_mode, given.compressed)
+            new = to / f".new-{t}.csv"  # whole before it takes the old one's place
+            write_csv(in_order(s, t, given), new, given.null_mode, given.compressed)
+            ending, other = (".csv.gz", ".csv") if given.compressed else (".csv", ".csv.gz")
+            Path(f"{new}.gz" if given.compressed else new).replace(to / f"{t}{ending}")
+            (to / f"{t}{other}").unlink(missing_ok=True)
     for t in given.chosen(before):
         if t not in s.schema.tables:
             out[t] = "removed"
@@ -286,4 +332,4 @@ def checksum(s: Snapshot, tables: Sequence[str] = (), exclude: Sequence[str] = (
     return of({t: s.tables[t] for t in names}, {t: [(c.name, c.kind) for c in s.schema.tables[t].columns] for t in names}, {t: s.pk(t) for t in names}, views)
 
 
-__all__ = ["FORMATS", "ROWID", "Snapshot", "checksum", "detect", "from_frames", "load", "to_csv", "to_csv_incremental", "to_duckdb", "to_parquet", "to_sqlite"]
+__all__ = ["FORMATS", "ROWID", "Snapshot", "checksum", "detect", "from_frames", "load", "to_csv", "to_csv_incremental", "to_duckdb", "to_parquet", "to_parquet_url", "to_sqlite"]

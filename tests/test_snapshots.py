@@ -336,3 +336,16 @@ def test_more_verbs(spark, database, tmp_path):
     con.commit()
     found = api.diff_detail(tmp_path / "d.tables", database, spark, tables=["users"])
     assert not found["identical"] and found["tables"][0]["deleted"] == 1 and found["tables"][0]["rows"][0]["kind"] == "deleted"
+
+
+def test_stores_by_url(spark, database, tmp_path):
+    """Folders that only Spark's file systems open."""
+    api.to_csv(database, tmp_path / "a.tables", spark)
+    first = api.checksum(tmp_path / "a.tables", spark)
+    assert api.checksum(f"file://{tmp_path}/a.tables", spark, tables=["users", "orders"]) == api.checksum(tmp_path / "a.tables", spark, tables=["users", "orders"]) and first
+    api.to_parquet(tmp_path / "a.tables", f"file://{tmp_path}/b", spark)
+    assert (tmp_path / "b" / "users.parquet").is_dir()
+    back = api.load(f"file://{tmp_path}/b", spark)
+    assert back.pk("users") == ["id"] and sorted(r["id"] for r in back["users"].collect()) == [1, 2, 10]
+    with pytest.raises(Exception):
+        api.to_parquet(tmp_path / "a.tables", f"file://{tmp_path}/b", spark)
