@@ -190,3 +190,23 @@ def test_very_long_texts(spark, tmp_path):
     assert mix(docs, labels, Workspace(spark, "t")).count() == 4
     turns = docs.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("user").alias("role"), "text")
     assert digests(read_windows(format_windows(turns, Workspace(spark, "t")))).first()["n_turns"] == 4
+
+
+def test_the_classifier_finds_its_domains(spark):
+    """Learned on four fifths of the labels; recall and precision of the rest."""
+    from plainlake.llm.mixing import fit, label_domain, posteriors
+    from plainlake.llm.shared import row_key
+
+    sf, domains = "/root/testdata/sf0.1", ["high", "low", "toxic"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    ws = Workspace(spark, "t")
+    model = fit(docs, labels.filter("doc_id % 5 > 0"), domains, ws, docs_per_domain=600)
+    rest = docs.join(labels.filter("doc_id % 5 = 0"), "doc_id").withColumn("domain", label_domain())
+    rows = rest.select("domain", *row_key("doc_id", "text")).join(posteriors(rest, model, domains), ["_k1", "_k2"]).collect()
+    best = [(r["domain"], max(range(3), key=lambda i: r[f"p{i}"])) for r in rows]
+    share = {d: sum(x == (d, k) for x in best) / sum(x[0] == d for x in best) for k, d in enumerate(domains)}
+    print(share)
+    assert share["high"] > 0.9 and share["low"] > 0.6 and share["toxic"] > 0.5
+    called = [x for x in best if x[1] == 2]
+    assert sum(x[0] == "toxic" for x in called) > 0.8 * len(called)
