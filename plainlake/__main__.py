@@ -108,14 +108,15 @@ def main(args: list[str] | None = None) -> int:
             print(f"warning: {x}")
         return int(not r.ok)
     elif a.command == "diff":
-        found = {t: [r.asDict(recursive=True) for r in df.toLocalIterator()] for t, df in api.diff(a.left, a.right, spark, a.tables, a.exclude).items()}
-        if a.json:
-            print(json.dumps(found, default=str, sort_keys=True))
-        else:
-            for t, rows in found.items():
-                for r in rows:
-                    print(t, *(f"{k}={v}" for k, v in r.items()))
-        return int(any(found.values()))
+        any_row, out = False, sys.stdout
+        for k, (t, df) in enumerate(api.diff(a.left, a.right, spark, a.tables, a.exclude).items()):
+            out.write((f"{', ' if k else '{'}{json.dumps(t)}: [") if a.json else "")
+            for i, r in enumerate(df.toLocalIterator()):  # rows are written as they come
+                any_row, x = True, r.asDict(recursive=True)
+                out.write((", " if i else "") + json.dumps(x, default=str, sort_keys=True) if a.json else " ".join([t, *(f"{n}={v}" for n, v in x.items())]) + "\n")
+            out.write("]" if a.json else "")
+        out.write("}\n" if a.json else "")
+        return int(any_row)
     elif a.command == "merge":
         rows, conflicts = api.merge(a.base, a.left, a.right, a.output, a.strategy, spark, a.force)
         for t, df in rows.items():
@@ -128,7 +129,10 @@ def main(args: list[str] | None = None) -> int:
         print(api.checksum(a.path, spark, a.tables, a.exclude))
     elif a.command == "sql":
         df = api.sql(a.query, a.path, spark)
-        sys.stdout.write(show.to_table(df) if (a.format or ("table" if sys.stdout.isatty() else "csv")) == "table" else show.to_csv(df))
+        if (a.format or ("table" if sys.stdout.isatty() else "csv")) == "table":
+            sys.stdout.write(show.to_table(df))
+        else:
+            show.write_csv(df, sys.stdout)
     elif a.command == "watch":
         to = Path(a.output or Path(a.path.rstrip("/")).with_suffix("." + a.target))
         build = {"sqlite": api.to_sqlite, "duckdb": api.to_duckdb, "parquet": api.to_parquet}[a.target]

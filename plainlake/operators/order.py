@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plainlake.functions.canon import natural_key
 from plainlake.operators.compare import canonical
@@ -65,17 +66,31 @@ def duplicate_keys(df: DataFrame, pk: Sequence[str]) -> DataFrame:
     return df.groupBy(*[f"`{k}`" for k in pk]).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, values: Sequence[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, values: Sequence[str], stretches: int = 256) -> DataFrame:
     """Each row of `left` with `values` of the last row of `right` of the same `by` at or before it, else NULL.
 
-    Both sides pass one window by key and time, so the cost is a sort, not a product. Ties on the right go to the largest
-    values; equal times count as before."""
-    keys = [f"`{c}`" for c in by]
-    l = left.select(*keys, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_l"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_r"))
-    r = right.select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), F.struct(*values).alias("_r"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side", F.asc_nulls_last("_r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = l.unionByName(r).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
-    return every.select("_l.*", *[F.col(f"_m.{v}").alias(v if v not in left.columns else f"{v}_right") for v in values])
+    Both sides pass one window by key and stretch of time, so the cost is a sort, not a product, and a key that holds much
+    of the rows is in `stretches` tasks and not in one. A stretch begins with a row that carries the last value of the
+    stretches before it, from one small window over (key, stretch). Ties on the right go to the largest values; equal times
+    count as before. A NULL time is before all others; NULL keys are equal."""
+    at, side, l, r, part = free_names(left.select("*", *[F.lit(0).alias(f"{c}_") for c in right.columns]), 5)
+    keys = [F.col(f"`{c}`") for c in by]
+    value = F.struct(*[F.col(f"`{v}`") for v in values])
+    x = left.select(*keys, F.col(f"`{left_at}`").alias(at), F.lit(1).alias(side), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias(l), F.lit(None).cast(right.select(value).schema[0].dataType).alias(r))
+    y = right.select(*keys, F.col(f"`{right_at}`").alias(at), F.lit(0).alias(side), F.lit(None).cast(x.schema[l].dataType).alias(l), value.alias(r))
+    every = x.unionByName(y)
+    number = F.col(at).cast("double") if isinstance(every.schema[at].dataType, T.NumericType) else F.col(at).cast("timestamp").cast("double")
+    times = left.select(F.col(f"`{left_at}`").alias(at)).unionByName(right.select(F.col(f"`{right_at}`").alias(at)))
+    a, b = times.agg(F.min(number), F.max(number)).first()
+    wide = 0.0 if a is None or not b - a < float("inf") else (b - a) / stretches
+    every = every.withColumn(part, F.coalesce(F.floor((number - a) / wide).cast("int"), F.lit(-1)) if wide > 0 else F.lit(0))
+    last = F.max_by(r, F.when(F.col(side) == 0, F.struct(F.col(at), F.col(r)))).alias(r)
+    earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.groupBy(*by, part).agg(last).withColumn(r, F.last(r, ignorenulls=True).over(earlier)).filter(F.col(r).isNotNull())
+    carried = carried.select(*keys, F.lit(None).cast(every.schema[at].dataType).alias(at), F.lit(-1).alias(side), F.lit(None).cast(x.schema[l].dataType).alias(l), r, part)
+    w = Window.partitionBy(*by, part).orderBy(F.col(side) >= 0, F.asc_nulls_first(at), side, F.asc_nulls_last(r)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = every.unionByName(carried).withColumn(r, F.last(r, ignorenulls=True).over(w)).filter(F.col(side) == 1)
+    return out.select(f"{l}.*", *[F.col(f"{r}.`{v}`").alias(v if v not in left.columns else f"{v}_right") for v in values])
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str) -> DataFrame:

@@ -12,21 +12,25 @@ from pyspark.sql import types as T
 from plainlake.functions.canon import text
 
 
-def _cells(df: DataFrame) -> list[tuple]:
-    return [tuple(r) for r in df.select(*[(F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, T.BooleanType) else text(F.col(f"`{f.name}`"), f.dataType)).alias(f.name) for f in df.schema]).collect()]
+def _cells(df: DataFrame):
+    return (tuple(r) for r in df.select(*[(F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, T.BooleanType) else text(F.col(f"`{f.name}`"), f.dataType)).alias(f.name) for f in df.schema]).toLocalIterator())
 
 
-def to_csv(df: DataFrame) -> str:
-    """Header and rows; NULL is an empty field."""
-    out = io.StringIO()
+def write_csv(df: DataFrame, out) -> None:
+    """Header and rows to a text stream, one partition at a time; NULL is an empty field."""
     w = csv.writer(out, lineterminator="\n")
     w.writerow(df.columns)
     w.writerows(["" if v is None else v for v in r] for r in _cells(df))
+
+
+def to_csv(df: DataFrame) -> str:
+    out = io.StringIO()
+    write_csv(df, out)
     return out.getvalue()
 
 
 def to_table(df: DataFrame) -> str:
-    """A frame of lines; numbers stand on the right, NULL is written out, and the last line counts the rows."""
+    """A frame of lines, for results that fit a screen; numbers stand on the right, NULL is written out, and the last line counts the rows."""
     rows = [["NULL" if v is None else v for v in r] for r in _cells(df)]
     right = [isinstance(f.dataType, T.NumericType) for f in df.schema]
     wide = [max(len(x) for x in col) for col in zip(df.columns, *rows)]

@@ -349,3 +349,16 @@ def test_stores_by_url(spark, database, tmp_path):
     assert back.pk("users") == ["id"] and sorted(r["id"] for r in back["users"].collect()) == [1, 2, 10]
     with pytest.raises(Exception):
         api.to_parquet(tmp_path / "a.tables", f"file://{tmp_path}/b", spark)
+
+
+def test_asof_over_stretches(spark):
+    """A hot key, gaps over many stretches, ties and NULLs, for any number of stretches."""
+    from plainlake.operators.order import asof_join
+
+    left = [(k, t, i) for i, (k, t) in enumerate([("a", x) for x in range(0, 1000, 7)] + [("b", 5), ("b", 990), ("c", 3), (None, 7), ("a", None)])]
+    right = [("a", x, x) for x in range(100, 900, 13)] + [("a", 100, 7), ("b", 5, 1), ("b", 6, 2), (None, 1, 9)]
+    x, y = spark.createDataFrame(left, "k string, t long, i long"), spark.createDataFrame(right, "k string, s long, _pl0 long")
+    want = {i: max(((s, v) for kk, s, v in right if kk == k and t is not None and s <= t), default=(0, None))[1] for k, t, i in left}
+    for n in (1, 3, 256):
+        assert {r["i"]: r["_pl0"] for r in asof_join(x, y, ["k"], "t", "s", ["_pl0"], n).collect()} == want
+    assert asof_join(x.limit(0), y, ["k"], "t", "s", ["_pl0"]).count() == 0 and asof_join(x, y.limit(0), ["k"], "t", "s", ["_pl0"]).filter("_pl0 is not null").count() == 0
