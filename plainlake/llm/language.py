@@ -6,9 +6,10 @@ import base64
 import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -51,16 +52,26 @@ class Model:
 
     def __post_init__(self):
         self.version = hashlib.sha256(self.log_p.tobytes() + repr(self.languages).encode()).hexdigest()
-        self.rows = {w: [math.exp(x) for x in self.log_p[i]] for w, i in self.pieces.items()}
-        names = list(self.pieces)
         self.reach: dict[bytes, int] = {}  # the longest piece with these first four bytes
-        for w in names:
+        sizes: dict[int, list[bytes]] = {}
+        for w in self.pieces:
             if len(w) > 4:
                 self.reach[w[:4]] = max(self.reach.get(w[:4], 4), len(w))
-        hashes = np.array([spans(prefix(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))[0] for w in names], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.p = np.concatenate([np.exp(self.log_p[[self.pieces[names[i]] for i in order]]), np.zeros((1, len(self.languages)))]) if names else np.zeros((1, len(self.languages)))
+            if len(w) <= LONGEST:
+                sizes.setdefault(len(w), []).append(w)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: the hashes of the pieces in order, and their probabilities
+        for n, names in sizes.items():
+            data = np.frombuffer(b"".join(names), np.uint8)
+            starts = np.arange(0, len(data), n)
+            hashes = spans(prefix(data), starts, starts + n)
+            order = np.argsort(hashes)
+            self.tables[n] = hashes[order], np.exp(self.log_p[[self.pieces[names[i]] for i in order]])
+
+    @cached_property
+    def rows(self) -> dict[bytes, list[float]]:
+        """Probabilities by piece; only words over LONGEST bytes ask for them."""
+        p = np.exp(self.log_p).tolist()
+        return {w: p[i] for w, i in self.pieces.items()}
 
     def word(self, word: str) -> list[float]:
         """Log probability of a word in each language, all its segmentations summed by the forward algorithm: ways[j] is
@@ -105,12 +116,15 @@ class Model:
             ways[0] = 1.0
             for j in range(1, n + 1):
                 for i in range(max(0, j - self.longest), j):
+                    if (table := self.tables.get(j - i)) is None:
+                        continue
+                    hashes, p = table
                     h = mix((sums[:, j] - sums[:, i]) * down[i] + np.uint64(j - i))
-                    k = np.searchsorted(self.hashes, h)
-                    k[self.hashes[np.minimum(k, len(self.hashes) - 1)] != h] = len(self.hashes)
-                    has = np.flatnonzero(k < len(self.hashes))
+                    k = np.searchsorted(hashes, h)
+                    k[k == len(hashes)] = 0
+                    has = np.flatnonzero(hashes[k] == h)
                     if len(has):
-                        ways[j, has] += ways[i, has] * self.p[k[has]]
+                        ways[j, has] += ways[i, has] * p[k[has]]
             out[at] = np.log(ways[n])
         return out
 
@@ -123,28 +137,28 @@ def train(counts: dict[str, dict[str, int]], pieces: dict[bytes, int], rounds: i
     used = {w: i for i, w in enumerate(pieces)}
     for b in range(256):
         used.setdefault(bytes([b]), len(used))
-    cuts: dict[str, list[tuple[int, int, int]]] = {}
-    for word in {w for c in counts.values() for w in c}:
-        b = (" " + word).encode()
-        cuts[word] = [(i, j, used[b[i:j]]) for j in range(1, len(b) + 1) for i in range(max(0, j - longest), j) if b[i:j] in pieces or j == i + 1]
     log_p = np.zeros((len(used), len(counts)))
     for x, (_, words) in enumerate(sorted(counts.items())):
+        cuts = []  # of each word the places i, j and numbers k of its pieces, flat: the driver holds those of one language
+        for word in words:
+            b = (" " + word).encode()
+            cuts.append(array("I", (v for j in range(1, len(b) + 1) for i in range(max(0, j - longest), j) if b[i:j] in pieces or j == i + 1 for v in (i, j, used[b[i:j]]))))
         p = np.full(len(used), 1.0 / len(used))
         for _ in range(rounds):
             got = np.full(len(used), smoothing)
             q, total = p.tolist(), {}
-            for word, n in words.items():
+            for cut, (word, n) in zip(cuts, words.items()):
                 size = len(word.encode()) + 1
                 forward, backward = [0.0] * (size + 1), [0.0] * (size + 1)
                 forward[0] = backward[size] = 1.0
-                for i, j, k in cuts[word]:
+                for i, j, k in zip(*[iter(cut)] * 3):
                     forward[j] += forward[i] * q[k]
-                for i, j, k in reversed(cuts[word]):
-                    backward[i] += q[k] * backward[j]
                 if forward[size] <= 0:
                     continue
+                for k, j, i in zip(*[iter(cut[::-1])] * 3):
+                    backward[i] += q[k] * backward[j]
                 share = n / forward[size]
-                for i, j, k in cuts[word]:
+                for i, j, k in zip(*[iter(cut)] * 3):
                     total[k] = total.get(k, 0.0) + share * forward[i] * q[k] * backward[j]
             for k, v in total.items():
                 got[k] += v
@@ -196,6 +210,8 @@ _CACHES: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
 def _predict(model: Model, keep: list[str], most_cached: int = 250_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.languages)
+        if model.version not in _CACHES:  # a worker outlives a model; what it knew of another one goes
+            _CACHES.clear()
         row_of, holder = _CACHES.setdefault(model.version, ({}, [np.zeros((1024, max(k, 1)))]))
         for batch in batches:
             best, score = [], []

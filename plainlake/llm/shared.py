@@ -43,12 +43,12 @@ def components(edges: DataFrame, ws: Workspace, name: str, most_rounds: int = 40
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
         seen, ends = is_now, 2 * is_now[0]
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ws.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), f"{name}-{k}-least")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         # An edge (a, b) with the larger a: a goes to the least neighbour of b.
         large = _to_least(now.select(F.col("b").alias("a"), F.col("a").alias("b")), least, ends).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = ws.save(large, f"{name}-{k}-large")
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _to_least(large, ws.save(low, f"{name}-{k}-low"), ends).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        small = _to_least(large, low, ends).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         now = ws.save(small, f"{name}-{k}")
         is_now = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     raise RuntimeError("the components did not settle")
