@@ -6,12 +6,12 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plainlake.llm.pieces import Bounded, Splitter, texts_of
+from plainlake.llm.workers import held
 from plainlake.session import ship
 
 NEVER = 1 << 60
@@ -28,7 +28,7 @@ def byte_alphabet() -> dict[str, int]:
 class Merges:
     """The vocabulary of a byte-level BPE file, and words encoded by it."""
 
-    def __init__(self, path: str, most_cached: int = 300_000, short: int = 192):
+    def __init__(self, path: str, most_cached: int = 200_000, short: int = 192):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         vocab, letters = model["model"]["vocab"], byte_alphabet()
@@ -103,10 +103,9 @@ class Merges:
         return b"".join(map(self.by_text.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
-@lru_cache(2)
 def merges(path: str) -> Merges:
     """One for each Python worker."""
-    return Merges(path)
+    return held(("merges", path), lambda: Merges(path))
 
 
 def _batches(path: str, keep: list[str], what: str):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from plainlake.llm.bytehash import Powers, mix, prefix, spans
 from plainlake.llm.pieces import texts_of
+from plainlake.llm.workers import held
 from plainlake.session import ship
 
 #: Runs of letters, and of other numbers than digits, which letters() takes out. A word is scored with a space before it,
@@ -203,16 +204,10 @@ def _runs(texts: Iterator[str], most: int = 1 << 20) -> Iterator[list[str]]:
         yield held
 
 
-#: Scored words by model, one cache for each Python worker.
-_CACHES: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
-
-
-def _predict(model: Model, keep: list[str], most_cached: int = 250_000):
+def _predict(model: Model, keep: list[str], most_cached: int = 150_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.languages)
-        if model.version not in _CACHES:  # a worker outlives a model; what it knew of another one goes
-            _CACHES.clear()
-        row_of, holder = _CACHES.setdefault(model.version, ({}, [np.zeros((1024, max(k, 1)))]))
+        row_of, holder = held(("words", model.version), lambda: ({}, [np.zeros((1024, max(k, 1)))]))
         for batch in batches:
             best, score = [], []
             for texts in _runs(texts_of(batch)):

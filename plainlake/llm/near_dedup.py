@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plainlake.llm.bytehash import FOLD, chunks, mix, shingles, words
 from plainlake.llm.shared import Workspace, components
+from plainlake.llm.workers import release
 
 #: Collections of SIDE pairs of minhashes. A table's key joins a pair of the left and one of the right collection, so
 #: SIDE**2 tables of four rows cost 4 * SIDE minhashes; at a similarity of 0.75 a table is hit with 0.32, and all are
@@ -76,6 +77,7 @@ def _possible(x: str, y: str, similarity: int) -> Column:
 
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             n = batch.num_rows
             count, d, sig, more = np.zeros(n, np.int64), np.zeros((n, 2), np.int64), np.zeros((n, MINHASHES), np.int32), np.zeros((n, len(PARTS) + len(MAP) + 1), np.int64)
@@ -137,6 +139,7 @@ def _open_pairs(similarity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        release()
 
         def out(groups: list[list[np.ndarray]]) -> pa.RecordBatch:
             found = [p for _, t, same, own, *rest in groups for p in _alike(int(t[0]), own, bool(same[0]), *rest, similarity)]

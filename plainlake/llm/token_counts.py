@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plainlake.llm.pieces import Bounded, Splitter, texts_of
 from plainlake.llm.shared import free_names
+from plainlake.llm.workers import held
 from plainlake.session import ship
 
 CACHE = "tokenizer string, digest string, n_tokens long"
@@ -27,7 +28,7 @@ def tokenizer_version(path: str) -> str:
 class Counter:
     """Counts tokens with the library of the file's kind; it is asked once for each distinct piece that the cache lacks."""
 
-    def __init__(self, path: str, most_cached: int = 300_000):
+    def __init__(self, path: str, most_cached: int = 200_000):
         if path.endswith(".model"):
             import sentencepiece
 
@@ -48,9 +49,8 @@ class Counter:
         self.count = (lambda text: sum(map(self.cache.__getitem__, self.splitter(text)))) if byte_level else ask
 
 
-@lru_cache(2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return held(("counter", path), lambda: Counter(path))
 
 
 def _count(path: str, version: str):
