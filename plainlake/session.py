@@ -22,6 +22,10 @@ SETTINGS = {
 }
 
 
+#: Rows that Spark hands to a Python worker at once, unless the session says otherwise.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def session(master: str | None = None, **settings: str) -> SparkSession:
     """A session with SETTINGS; shuffle partitions stay with the cluster, as adaptive execution coalesces them."""
     builder = SparkSession.builder.appName("plainlake").config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()})
@@ -39,6 +43,9 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, Path("plainlake") / f.relative_to(root))
     sc.addPyFile(str(to))
+    # Texts are long: smaller batches keep what a worker and its executor hold of a table small.
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "2000")
     sc._plainlake_shipped = True
 
 
