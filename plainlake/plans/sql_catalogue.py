@@ -86,7 +86,7 @@ TRANSLATED = {
     "positional_join": "SELECT a.r_name, b.n_name FROM (SELECT r_name FROM region ORDER BY r_regionkey) a POSITIONAL JOIN (SELECT n_name FROM nation ORDER BY n_nationkey) b",
     "skewness": "SELECT round(skewness(l_extendedprice), 6) AS s, round(kurtosis(l_extendedprice), 5) AS k FROM lineitem",
     "median_quantile": "SELECT l_returnflag, median(l_quantity) AS m, round(quantile_cont(l_extendedprice, 0.9), 4) AS p FROM lineitem GROUP BY l_returnflag",
-    "mode": "SELECT n_regionkey, mode(c_nationkey) AS m FROM (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT c.*, n.* FROM customer c JOIN nation n ON c_nationkey = n_nationkey JOIN region ON n_nationkey = r_regionkey * 5 JOIN orders ON o_custkey = c_custkey) GROUP BY n_regionkey HAVING count(*) > 0",
+    "mode": "SELECT o_orderstatus, mode(CASE WHEN o_orderkey % 10 < 6 THEN o_orderstatus || ' often' WHEN o_orderkey % 10 < 9 THEN 'at times' ELSE 'rarely' END) AS m FROM orders GROUP BY o_orderstatus",
     "any_value": "SELECT n_regionkey, any_value(r_name) AS v FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey",
     "string_agg": "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS s FROM nation GROUP BY n_regionkey",
     "list_agg": "SELECT n_regionkey, array_to_string(list(n_name ORDER BY n_name DESC), '|') AS l FROM nation GROUP BY n_regionkey",
