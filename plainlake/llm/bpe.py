@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plainlake.llm.pieces import Bounded, Splitter, texts_of
-from plainlake.llm.workers import held
+from plainlake.llm.workers import held, lean
 from plainlake.session import ship
 
 NEVER = 1 << 60
@@ -145,4 +145,4 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
     order = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded", "n_tokens"]
     keep = [c for c in docs.columns if c not in new and not (digests and c == "text")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep] + [f"{c} {new[c]}" for c in order])
-    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(_batches(path, keep, "digests" if digests else "texts"), schema)
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(lean(_batches(path, keep, "digests" if digests else "texts")), schema)

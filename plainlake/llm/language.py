@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from plainlake.llm.bytehash import Powers, mix, prefix, spans
 from plainlake.llm.pieces import texts_of
-from plainlake.llm.workers import held
+from plainlake.llm.workers import held, lean
 from plainlake.session import ship
 
 #: Runs of letters, and of other numbers than digits, which letters() takes out. A word is scored with a space before it,
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep] + ["lang_pred string", "score double"])
-    return docs.select(*keep).mapInArrow(_predict(model, keep), schema)
+    return docs.select(*keep).mapInArrow(lean(_predict(model, keep)), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plainlake.llm.bytehash import FOLD, chunks, mix, shingles, words
 from plainlake.llm.shared import Workspace, components
-from plainlake.llm.workers import release
+from plainlake.llm.workers import lean, release
 
 #: Collections of SIDE pairs of minhashes. A table's key joins a pair of the left and one of the right collection, so
 #: SIDE**2 tables of four rows cost 4 * SIDE minhashes; at a similarity of 0.75 a table is hit with 0.32, and all are
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 5, similarity: i
     shares. Its sizes and bitmaps must allow the similarity, and it must agree in AGREE of the sketches' minhashes; every
     link is confirmed on the full sets.
     """
-    sig = ws.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures(size), "doc_id long, n long, s1 long, s2 long, sig array<int>, more array<long>, packed binary"), "signatures")
+    sig = ws.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_signatures(size)), "doc_id long, n long, s1 long, s2 long, sig array<int>, more array<long>, packed binary"), "signatures")
     classes = sig.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     classes = ws.save(classes, "classes")
     chosen = classes.filter("rep is not null").select(F.col("rep").alias("doc_id"), "s1", "s2")
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 5, similarity: i
     wanted = tables.select(F.col("id").alias("doc_id")).distinct()
     wanted = reps.join(wanted, "doc_id", "left_semi").select("doc_id", "s1", "s2")
     with_text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), "doc_id")
-    sets = ws.save(with_text.mapInArrow(_full_sets(size), "id long, items array<long>"), "sets")
+    sets = ws.save(with_text.mapInArrow(lean(_full_sets(size)), "id long, items array<long>"), "sets")
 
     sketches = ws.save(reps.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n").alias("w"), "packed", *[F.col("more")[k].alias(m) for k, m in enumerate(SKETCH)]), "sketches")
 
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 5, similarity: i
     block = _key(F.col("key"), F.least("own", "other"), F.greatest("own", "other"))
     dealt = dealt.select(block.alias("key"), "t", (F.col("own") == F.col("other")).cast("int").alias("same"), "own", "id", "c").join(sketches.select("id", "w", "lost", "packed"), "id")
     dealt = dealt.select("key", "t", "same", "own", "id", "c", "w", "lost", "packed").repartition("key").sortWithinPartitions("key")
-    pairs = dealt.mapInArrow(_open_pairs(similarity), "a long, b long, agree long").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    pairs = dealt.mapInArrow(lean(_open_pairs(similarity)), "a long, b long, agree long").groupBy("a", "b").agg(F.max("agree").alias("agree"))
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = ws.save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     # The likeliest partners of each text first: in a group of near copies few of the other pairs are open after that.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plainlake.llm.pieces import Bounded, Splitter, texts_of
 from plainlake.llm.shared import free_names
-from plainlake.llm.workers import held
+from plainlake.llm.workers import held, lean
 from plainlake.session import ship
 
 CACHE = "tokenizer string, digest string, n_tokens long"
@@ -84,7 +84,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, cache_path: st
     cache = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer") == version).drop("tokenizer")
     texts = docs.select(digest().alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
     missing = texts.groupBy("digest").agg(F.first("text").alias("text")).join(cache.select("digest"), "digest", "left_anti")
-    missing.mapInArrow(_count(path, version), CACHE).write.mode("append").parquet(cache_path)
+    missing.mapInArrow(lean(_count(path, version)), CACHE).write.mode("append").parquet(cache_path)
     keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     (key,) = free_names(docs, 1)
     known = spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer") == version).select(F.col("digest").alias(key), "n_tokens")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
+import pyarrow as pa
+
 _HELD: dict[Hashable, Any] = {}
 
 
@@ -12,11 +15,32 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     """The thing of that name, made if the worker hasn't it. A worker outlives its operator and holds one thing at a time:
     the caches of the stages before must not add up."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def release() -> None:
     """For operators that keep nothing."""
-    _HELD.clear()
+    if _HELD:
+        _HELD.clear()
+        _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, as an idle worker counts beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run` for mapInArrow; what a task freed doesn't stay with its worker."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
