@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plainlake.llm.bytehash import Powers, mix, prefix, spans
-from plainlake.llm.shared import Workspace, free_names, rough_set, rough_split
+from plainlake.llm.shared import HUBS, Workspace, free_names, rough_set, rough_split
 
 _SEGMENT, _LOW = 1 << 19, (1 << 20) - 1
 
@@ -172,6 +172,15 @@ def _remove(depth: int, keep: list[str], at: str, texts: bool):
     return run
 
 
+def _held(rows: DataFrame, digits: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of which `digits` (by…, n: its rows) has the key. Keys with more than a HUBS-th of the rows are HUBS at
+    most, whatever the data; their rows meet them by a broadcast and stay where they are, all others by a shuffle."""
+    every = digits.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(digits.filter(F.col("n") * HUBS > every).select(*by))
+    rest = digits.filter(F.col("n") * HUBS <= every).select(*by)
+    return rows.join(hot, by, "left_semi").unionByName(rows.join(hot, by, "left_anti").join(rest, by, "left_semi"))
+
+
 def remove_repeats(docs: DataFrame, ws: Workspace, depth: int = 400, texts: bool = False) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans, kept_sha256 (and with `texts`, kept: the remaining bytes).
 
@@ -183,7 +192,8 @@ def remove_repeats(docs: DataFrame, ws: Workspace, depth: int = 400, texts: bool
     significant digit is a gram of the window at a place its bytes choose, so that one suffix stands for some hundred
     windows; groups of one leave at once. The next pass orders by the core, which all windows of a bucket of offsets
     share; the next by the hull, which holds them all: equal hulls settle a bucket. What is left is ordered by whole
-    windows. Passes count by partial aggregation and join, so no group meets in one task. Copies of a text are one text
+    windows. Passes count by partial aggregation; the rows of a hot group stay in their tasks, so no
+    group meets in one. Copies of a text are one text
     here; texts that a pass doesn't need are kept out of the shuffle by a bitmap of bounded size. Hashes have 64 bits, and
     a match needs two of them (gram and window).
     """
@@ -195,12 +205,13 @@ def remove_repeats(docs: DataFrame, ws: Workspace, depth: int = 400, texts: bool
     met = [F.min(here).alias("_a"), F.max(here).alias("_b")]
 
     def repeated(rows: DataFrame, *by: str) -> DataFrame:
-        """The digits that occur at two places; a table of their own, so that a join may split the rows of a hot one."""
-        return ws.save(rows.groupBy(*by).agg(*met).filter("_a <> _b").select(*by), "repeated-" + "-".join(by))
+        """The rows whose digits occur at two places."""
+        found = rows.groupBy(*by).agg(*met, F.count("*").alias("n")).filter("_a <> _b").select(*by, "n")
+        return _held(rows, ws.save(found, "repeated-" + "-".join(by)), list(by))
 
     first = ws.save(source.mapInArrow(_first_digits(depth), "t1 long, t2 long, n_bytes long, grams array<long>, places array<int>"), "first")
     suffix = first.select("t1", "t2", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("t1", "t2", F.col("x.grams").alias("gram"), F.col("x.places").alias("lo"))
-    spots = suffix.join(repeated(suffix, "gram"), "gram").groupBy("t1", "t2").agg(F.collect_set("lo").alias("places"))
+    spots = repeated(suffix, "gram").groupBy("t1", "t2").agg(F.collect_set("lo").alias("places"))
     spots = ws.save(spots, "spots")
 
     def with_text(keys: DataFrame) -> DataFrame:
@@ -209,15 +220,15 @@ def remove_repeats(docs: DataFrame, ws: Workspace, depth: int = 400, texts: bool
         return near.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(keys.hint("shuffle_hash"), ["t1", "t2"])
 
     buckets = ws.save(with_text(spots).mapInArrow(_later_digits(depth), "t1 long, t2 long, gram long, core long, hull long, lo int, hi int"), "buckets")
-    alike = ws.save(buckets.join(repeated(buckets, "gram", "core"), ["gram", "core"]), "cores")
-    hulls = ws.save(alike.groupBy("gram", "core", "hull").agg(*met), "hulls")
-    settled = alike.join(hulls.filter("_a <> _b").select("gram", "core", "hull"), ["gram", "core", "hull"], "left_semi").select("t1", "t2", "lo", "hi")
-    unsettled = ws.save(hulls.groupBy("gram", "core").agg(F.max(F.col("_a") == F.col("_b")).alias("any")).filter("any").select("gram", "core"), "unsettled")
-    chosen = hulls.join(unsettled, ["gram", "core"], "left_semi").select("gram", "core", "hull", "_a")
+    alike = ws.save(repeated(buckets, "gram", "core"), "cores")
+    hulls = ws.save(alike.groupBy("gram", "core", "hull").agg(*met, F.count("*").alias("n")), "hulls")
+    settled = _held(alike, hulls.filter("_a <> _b"), ["gram", "core", "hull"]).select("t1", "t2", "lo", "hi")
+    unsettled = ws.save(hulls.groupBy("gram", "core").agg(F.max(F.col("_a") == F.col("_b")).alias("any"), F.count("*").alias("n")).filter("any").select("gram", "core", "n"), "unsettled")
+    chosen = _held(hulls, unsettled, ["gram", "core"]).select("gram", "core", "hull", "_a")
     todo = alike.withColumn("_a", here).join(chosen, ["gram", "core", "hull", "_a"], "left_semi").select("t1", "t2", F.struct("lo", "hi", "gram").alias("e"))
     todo = ws.save(todo.groupBy("t1", "t2").agg(F.collect_set("e").alias("todo")), "todo")
     windows = ws.save(with_text(todo).mapInArrow(_windows(depth), "t1 long, t2 long, gram long, window long, lo int"), "windows")
-    single = windows.join(repeated(windows, "gram", "window"), ["gram", "window"]).select("t1", "t2", "lo", F.col("lo").alias("hi"))
+    single = repeated(windows, "gram", "window").select("t1", "t2", "lo", F.col("lo").alias("hi"))
     copied = first.groupBy("t1", "t2").agg(F.count("*").alias("m"), F.max("n_bytes").alias("n")).filter((F.col("m") > 1) & (F.col("n") >= depth))
     whole = copied.select("t1", "t2", F.lit(0).alias("lo"), (F.col("n") - depth).cast("int").alias("hi"))
     cuts = settled.unionByName(single).unionByName(whole).groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
