@@ -136,7 +136,7 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
     """`docs` with what the tokenizer file at `path` makes of `text` (null: empty): n_tokens and either ids and decoded,
     or their digests ids_sha256 and decoded_sha256.
 
-    Map only: no shuffle. A worker holds the vocabulary and a cache of at most 300,000 pieces. Empty text has no ids and
+    Map only: no shuffle. A worker holds the vocabulary and a cache of at most 200,000 pieces. Empty text has no ids and
     the digest of an empty string; columns of the input that clash with the new ones give way to them; an empty table
     gives an empty table. Repeated rows are encoded each.
     """
