@@ -30,33 +30,41 @@ def ascii_lower(c: Column) -> Column:
 def components(edges: DataFrame, ws: Workspace, name: str, most_rounds: int = 40) -> DataFrame:
     """Connected components of the graph with edges (a, b): rows (id, component), component the smallest id.
 
-    Alternates the large-star and small-star steps until the edges are stars. Everything is distributed; each round
+    Alternates the large-star and small-star steps until the edges are stars; edges that are stars already cost no step. Everything is distributed; each round
     is written to the shared folder, so that lineage stays short. Ids without an edge to another id are not returned.
     An id with more than a HUBS-th of all edge ends has its neighbours' edges joined by a broadcast instead of a shuffle:
     there are at most HUBS such ids, whatever the graph, so the centre of a large star is in no single task.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    now, seen = ws.save(now, f"{name}-0"), None
-    is_now = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    now = ws.save(now, f"{name}-0")
     for k in range(1, most_rounds + 1):
-        if not is_now[0] or is_now == seen:
+        n = _unless_stars(now)
+        if not n:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        seen, ends = is_now, 2 * is_now[0]
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         # An edge (a, b) with the larger a: a goes to the least neighbour of b.
-        large = _to_least(now.select(F.col("b").alias("a"), F.col("a").alias("b")), least, ends).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _to_least(now.select(F.col("b").alias("a"), F.col("a").alias("b")), least, 2 * n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = ws.save(large, f"{name}-{k}-large")
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _to_least(large, low, ends).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        small = _to_least(large, low, 2 * n).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         now = ws.save(small, f"{name}-{k}")
-        is_now = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     raise RuntimeError("the components did not settle")
 
 
 HUBS = 256
 
 
+def _unless_stars(edges: DataFrame) -> int:
+    """The number of distinct edges (a, b), a > b; 0 if each a has one edge and is no b, so that every b is the least id
+    of its component. One aggregation by id, to which each task sends an id once."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ids = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    got = ids.agg(F.sum("up").alias("n"), F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).alias("open")).first()
+    return got["n"] if got["open"] else 0
+
+
 def _to_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
     """`edges` (a, b) with m of `least` (a, m, n); hubs, of which there are HUBS at most, meet theirs by a broadcast."""
     hubs = F.broadcast(least.filter(F.col("n") * HUBS > ends).select("a", "m"))
