@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plainlake.llm.shared import Workspace, free_names, row_key
+from plainlake.session import ease
 
 #: Hashed words, and behind them shapes: a word's last character if it is no letter, and whether it has only capitals.
 BUCKETS, SHAPES = 1 << 16, 512
@@ -141,6 +142,7 @@ def fit_rates(rows: DataFrame, targets: list[float], most_rounds: int = 40, tole
         x = rows.withColumn("x", at(m)).withColumn("on", (F.col("x") > 0).cast("int"))
         sums = [F.sum(weight).alias("all"), *[F.sum(weight * F.col("x") * F.col(f"p{i}")).alias(f"t{i}") for i in k]]
         got = x.agg(*sums, *[F.sum(weight * F.col("on") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in k for j in k if i <= j]).first()
+        ease(rows.sparkSession)
         if not got["all"]:
             break
         off = np.array([got[f"t{i}"] for i in k]) / got["all"] - goal - ridge * m

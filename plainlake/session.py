@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -49,6 +50,23 @@ def ship(spark: SparkSession) -> None:
     sc._plainlake_shipped = True
 
 
+def let_go(spark: SparkSession) -> None:
+    """The driver drops what its queries left: plans that Python objects still name, and the broadcasts and shuffle files
+    that Spark cleans up when it finds them unused, which without a collection may be never."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def ease(spark: SparkSession) -> None:
+    """let_go once the driver's heap takes over half of its limit and more than the last collection left of it. A heap
+    gives nothing back by itself, and a stage of many queries fills it with what is no longer used."""
+    sc = spark.sparkContext
+    heap = sc._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > max(heap.maxMemory() // 2, getattr(sc, "_plainlake_heap", 0)):
+        let_go(spark)
+        sc._plainlake_heap = heap.totalMemory()
+
+
 SETTING = "spark.checkpoint.dir"
 
 
@@ -79,6 +97,7 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(path)
+        ease(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
